@@ -73,8 +73,7 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "l
 
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     sums = rows.mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    by_lang = sums.groupBy("l").agg(F.count("*").alias("k")).orderBy("l").limit(max_languages + 1).collect()
-    langs = [r.l for r in by_lang]
+    langs = sorted(r.l for r in rows.select("l").distinct().limit(max_languages + 1).collect())
     if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     counts = np.ones((1 << bits, len(langs)), np.float64)

@@ -152,6 +152,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, capacity
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
     scratch = Scratch(spark, "packing")
     cut = scratch.save(pieces(docs, path, pattern, capacity, end_id, key, text), "pieces")
+    names, fields = cut.columns, ", ".join(f"{n} {t}" for n, t in cut.dtypes)
 
     def number(batches):
         at, part = 0, TaskContext.get().partitionId()
@@ -163,7 +164,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, capacity
     order = ["length", "doc_id", "piece", "ids_crc32"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = cut.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranked = scratch.save(ranked.mapInArrow(number, cut.schema.add("part", "long").add("at", "long")), "sorted")
+    ranked = scratch.save(ranked.mapInArrow(number, f"{fields}, part long, at long"), "sorted")
     scratch.drop(cut)
     sizes = {r.part: r.n for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     counts = {r.length: r.n for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -184,6 +185,6 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, capacity
             run = runs[np.searchsorted(runs[:, 0], place, side="right") - 1]
             j = place - run[:, 0]
             made = [run[:, 1] + j // run[:, 2], run[:, 3] + j % run[:, 2] * col["length"]]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cut.columns), *map(pa.array, made)], [*cut.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *map(pa.array, made)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, cut.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(assign, f"{fields}, sequence_id long, offset long")
