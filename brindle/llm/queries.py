@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import langid, packing, pieces
+from brindle.llm import langid, media, neardup, packing, pieces, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,6 +29,21 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@_query
+def op3_media(spark, sf_dir):
+    return media.store_and_read(spark, _table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.judge(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op8_sentencepiece(spark, sf_dir):
     return pieces.digests(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(pieces.MODEL))
+
+
+@_query
+def op10_embedding_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))

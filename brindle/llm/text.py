@@ -36,9 +36,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21)
             yield batch.slice(a, b - a)
 
 
-def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+def utf8(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column, in lower case if asked for; null counts as empty."""
     col = pc.fill_null(col, "").cast(pa.large_string())
+    col = pc.utf8_lower(col) if lower else col
     _, off, data = col.buffers()
     off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
