@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import langid, media, neardup, packing, pieces, toxicity
+from brindle.llm import langid, media, neardup, packing, pieces, setjoin, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,6 +44,28 @@ def op8_sentencepiece(spark, sf_dir):
     return pieces.digests(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(pieces.MODEL))
 
 
+@_query
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return setjoin.components(spark, _table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+ORACLES["op9_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], chr(32)) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node) c USING (doc_id)
+"""
+
+
 @_query
 def op10_embedding_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
