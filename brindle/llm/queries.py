@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import langid, media, neardup, packing, pieces, setjoin, toxicity
+from brindle.llm import langid, media, neardup, packing, pieces, setjoin, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -39,6 +39,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.judge(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op7_suffix_array_dedup(spark, sf_dir):
+    return suffixes.spans(spark, _table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_sentencepiece(spark, sf_dir):
     return pieces.digests(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(pieces.MODEL))

@@ -74,12 +74,13 @@ class Schemes:
 
 def signatures(h: np.ndarray, scheme: int, m: int) -> np.ndarray:
     """The signatures of a set (its hashes) in a scheme of m segments."""
-    g = tx.mix(h + U(scheme + 1) * tx._TURN[1])
+    k = np.full(1, scheme + 1, U)
+    g = tx.mix(h + k * tx._TURN[1])
     seg = ((g >> U(32)) * U(m) >> U(32)).astype(np.int64)
     v = tx.mix(g)
     size = np.bincount(seg, minlength=m)
     total = (np.bincount(seg, (v >> U(32)).astype(np.float64), m).astype(U) << U(32)) + np.bincount(seg, (v & U(0xFFFFFFFF)).astype(np.float64), m).astype(U)
-    tag = (np.arange(m).astype(U) + U(1)) * tx._TURN[2] + U(scheme + 1) * tx._TURN[3]
+    tag = (np.arange(m).astype(U) + U(1)) * tx._TURN[2] + k * tx._TURN[3]
     own = tx.mix(total + tag)
     empty = m - int(np.count_nonzero(size))
     if not empty:
