@@ -7,7 +7,7 @@ log-probabilities (buckets x languages, float32) is broadcast. Its size depends
 `max_languages` values raises. Scoring gathers the matrix rows of every n-gram of the
 whole text, batch by batch.
 
-Nulls and edges: a null or letterless text gets `und` with score 0; rows with null text or
+Nulls and edges: a null or letterless text gets `und` with score 0; rows with null id, text or
 language don't train; without any training row every text is `und`; rows repeat as often as
 the input has them; other columns of the input play no part.
 """
@@ -114,7 +114,7 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row: learns where crc32(doc_id) mod 4 is not 2."""
     model = fit(spark, docs.where(fold("doc_id", 4) != 2))
     out = predict(spark, docs, model)
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -122,6 +122,6 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) ->
 
     A text goes if it is null, has no letter, or its best language has a posterior below `least`.
     """
-    model = fit(spark, docs)
-    out = predict(spark, docs, model, keep=tuple(docs.columns))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))  # no name in docs can clash
+    out = predict(spark, rows, fit(spark, docs), keep=("row",))
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import langid, media, neardup, packing, pieces, setjoin, suffixes, toxicity
+from brindle.llm import langid, licenses, media, neardup, packing, pieces, setjoin, suffixes, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,6 +34,16 @@ def op3_media(spark, sf_dir):
     return media.store_and_read(spark, _table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_warc_derivatives(spark, sf_dir):
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")), "page_id")
+
+
 @_query
 def op6_toxicity(spark, sf_dir):
     return toxicity.judge(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

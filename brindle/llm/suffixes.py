@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import text as tx
 from brindle.llm.neardup import runs
@@ -217,14 +218,16 @@ def cut_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> Data
 
     n_chars, where there is such a column, follows the text. Rows stay even if their text is all copies.
     """
-    found = spans(spark, docs.select("doc_id", "text"), words).where("is_copy").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("__spans"))
-    rows = docs.join(found, "doc_id", "left")
+    found = spans(spark, docs.select("doc_id", "text"), words).where("is_copy").select(F.col("doc_id").alias("id"), F.struct("first_word", "end_word").alias("span"))
+    found = found.groupBy("id").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # of one document, as long as its text at most
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("t")).join(found, F.col("key") == F.col("id"), "left")
 
     def cut(batches):
-        for b in tx.slices(batches, "text"):
+        for b in tx.slices(batches, "t"):
             texts = []
-            for text, at in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist()):
-                if at:
+            for text, at in zip(b.column("t").to_pylist(), b.column("spans").to_pylist()):
+                if at and text:
                     raw = np.frombuffer(text.encode(), np.uint8)
                     begin = np.append(tx.words(raw, np.array([0, len(raw)]))[0], len(raw))
                     keep = np.ones(len(raw), bool)
@@ -232,8 +235,8 @@ def cut_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> Data
                         keep[begin[s["first_word"]] : begin[s["end_word"]]] = False
                     text = raw[keep].tobytes().decode()
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "t"])
 
-    names = docs.columns
-    out = rows.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in names else out
+    out = rows.select("row", "t", "spans").mapInArrow(cut, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("t", T.StringType())]))
+    new = {"text": F.col("t"), "n_chars": F.char_length("t").cast("long")}
+    return out.select(*(new[n].alias(n) if n in new else F.col("row")[n].alias(n) for n in names))

@@ -122,10 +122,11 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row: learns where crc32(doc_id) mod 5 is not 0."""
     model = fit(spark, docs, labels.where(fold("doc_id", 5) != 0))
     out = score(spark, docs, model)
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, with a score under `limit`; the others go."""
-    out = score(spark, docs, fit(spark, docs, labels), keep=tuple(docs.columns))
-    return out.where(F.col("score") < limit).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))  # no name in docs can clash
+    out = score(spark, rows, fit(spark, docs, labels), keep=("row",))
+    return out.where(F.col("score") < limit).select("row.*")
