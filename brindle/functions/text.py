@@ -8,11 +8,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions import lexicon as lx
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_full(s: pd.Series) -> pd.Series:
     """All HTML entities and NFC; Spark has no function for either."""
     return s.map(lambda t: unicodedata.normalize("NFC", html.unescape(t)), na_action="ignore")
