@@ -2,8 +2,8 @@
 
 Features of a text are present-or-absent buckets of single words, neighbouring pairs and pairs
 with one word between (letters, digits and non-ASCII characters make words, in lower case).
-Training takes a bounded sample of labelled rows: of each label the `sample` rows whose
-hashed ids are smallest. They are dealt to `shards` tasks, each runs FTRL-proximal with
+Training takes a bounded sample of labelled rows: of each label the rows whose hashed ids
+are smallest, as many of each, `sample` at most. They are dealt out by `shard` rows, each task runs FTRL-proximal with
 per-coordinate rates and L1, and the weights are averaged. L1 leaves few weights, which are
 broadcast as index and value; their number is bounded by the sample, not by the corpus.
 
@@ -20,13 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import text as tx
 from brindle.llm.langid import fold
 
 BITS = 22
 SAMPLE = 6144
-SHARDS = 6
+SHARD = 4096
 EPOCHS = 6
 
 
@@ -45,7 +46,7 @@ def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray,
     return (np.concatenate(out) >> shift).astype(np.int64), np.concatenate(docs)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
     """(weights, bias) of logistic regression on rows of present buckets, by FTRL-proximal."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = bias = 0.0
@@ -66,14 +67,16 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EP
     return w, float(-bz / ((beta + bn**0.5) / alpha))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, bias). Learns from the labels given: at most `sample` rows of each value."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights, bias). Learns from the labels given: as many rows of each value, at most `sample`."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y")).select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y"))
     known = known.withColumn("r", F.xxhash64(F.lit(11), "doc_id"))
     have = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(have) < 2:
         return np.zeros(0, np.int64), np.zeros(0), 20.0 if have.get(1) else -20.0
-    picked = [known.where(F.col("y") == y).orderBy("r", "doc_id").limit(sample) for y in (0, 1)]
+    n = min(sample, *have.values())
+    shards = -(-2 * n // shard)
+    picked = [known.where(F.col("y") == y).orderBy("r", "doc_id").limit(n) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("id"), "y", F.pmod("r", F.lit(shards)).alias("shard"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("shard", "doc_id", "text", "y")  # at most 2 x sample rows
 
@@ -92,30 +95,38 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     got = rows.groupBy("shard").applyInArrow(train, "g long, w double").toArrow()  # L1 leaves few weights
     w, at = np.zeros(1 << bits), got.column("g").to_numpy()
     values = got.column("w").to_numpy()
-    n = max(int((at < 0).sum()), 1)
-    np.add.at(w, at[at >= 0], values[at >= 0] / n)
+    tasks = max(int((at < 0).sum()), 1)
+    np.add.at(w, at[at >= 0], values[at >= 0] / tasks)
     keep = np.flatnonzero(np.abs(w) > 1e-3)
-    return keep, w[keep], float(values[at < 0].sum() / n)
+    return keep, w[keep], float(values[at < 0].sum() / tasks)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep` with score, the probability of label 1."""
-    buckets, weights, bias = model
-    sent = spark.sparkContext.broadcast((buckets.astype(np.int32), weights.astype(np.float32)))
+class Model:
+    """Scores batches of texts with the broadcast weights."""
+
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float, bits: int = BITS):
+        self.at, self.w, self.bias, self.bits = buckets, weights, bias, bits
+        self.has = np.zeros(1 << bits, bool)
+        self.has[buckets] = True
+
+    def __call__(self, col: pa.Array) -> np.ndarray:
+        g, doc = features(*tx.utf8(col, lower=True), self.bits)
+        hit = self.has[g]
+        pairs = np.unique(doc[hit] << self.bits | g[hit])
+        w = self.w[np.searchsorted(self.at, pairs & ((1 << self.bits) - 1))] if len(pairs) else None
+        return 1 / (1 + np.exp(-np.clip(np.bincount(pairs >> self.bits, w, minlength=len(col)) + self.bias, -35, 35)))
+
+
+def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """(doc_id, score) of every row, score being the probability of label 1."""
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        at, w = sent.value
-        has = np.zeros(1 << bits, bool)
-        has[at] = True
-        for b in tx.slices(batches, "__t"):
-            g, doc = features(*tx.utf8(b.column("__t"), lower=True), bits)
-            hit = has[g]
-            pairs = np.unique(doc[hit] << bits | g[hit])
-            total = np.bincount(pairs >> bits, w[np.searchsorted(at, pairs & ((1 << bits) - 1))] if len(pairs) else None, minlength=b.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*keep, "score"])
+        m = Model(*sent.value)
+        for b in tx.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m(b.column("text")))], ["doc_id", "score"])
 
-    schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, F.col("text").alias("__t")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,6 +138,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, with a score under `limit`; the others go."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))  # no name in docs can clash
-    out = score(spark, rows, fit(spark, docs, labels), keep=("row",))
-    return out.where(F.col("score") < limit).select("row.*")
+    sent = spark.sparkContext.broadcast(fit(spark, docs, labels))
+
+    @F.arrow_udf(T.BooleanType())
+    def keep(text: pa.Array) -> pa.Array:
+        m = Model(*sent.value)
+        parts = [m(b.column("t")) for b in tx.slices([pa.record_batch([text], ["t"])], "t")]
+        return pa.array(np.concatenate(parts) < limit if parts else [], pa.bool_())
+
+    return docs.where(keep("text"))
