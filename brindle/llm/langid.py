@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import text as tx
 
@@ -84,30 +85,42 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "l
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep` with lang_pred and score, the posterior under equal priors."""
-    langs, _ = model
-    sent = spark.sparkContext.broadcast(model[1].tobytes())
+class Model:
+    """Scores batches of texts with the broadcast matrix."""
+
+    def __init__(self, langs: list[str], raw: bytes):
+        self.langs = langs
+        self.matrix = np.frombuffer(raw, np.float32).reshape(-1, max(len(langs), 1))
+        self.bits = self.matrix.shape[0].bit_length() - 1
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(best language, its posterior under equal priors) of each text."""
+        texts = [t or "" for t in texts]
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        known = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+        total = np.zeros((len(texts), len(self.langs)))
+        for g, doc in ngrams(texts, self.bits) if known.any() else ():
+            if len(g):
+                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                total[doc[at]] += np.add.reduceat(self.matrix[g], at, axis=0, dtype=np.float64)
+        best = total.argmax(1)
+        p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [self.langs[i] if k else UNKNOWN for i, k in zip(best, known)], np.where(known, p, 0.0)
+
+
+def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score) of every row."""
+    langs, sent = model[0], spark.sparkContext.broadcast(model[1].tobytes())
 
     def score(batches):
-        m = np.frombuffer(sent.value, np.float32).reshape(-1, max(len(langs), 1)) if langs else None
-        bits = int(m.shape[0]).bit_length() - 1 if langs else 0
-        for b in tx.slices(batches, "__t"):
-            texts = [t or "" for t in b.column("__t").to_pylist()]
-            known = np.array([bool(langs) and bool(_LETTER.search(t)) for t in texts], bool)
-            total = np.zeros((len(texts), len(langs)))
-            if known.any():
-                for g, doc in ngrams(texts, bits):
-                    if len(g):
-                        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                        total[doc[at]] += np.add.reduceat(m[g], at, axis=0, dtype=np.float64)
-            best = total.argmax(1) if langs else np.zeros(len(texts), int)
-            p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(texts))
-            pred = [langs[i] if k else UNKNOWN for i, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(known, p, 0.0))], [*keep, "lang_pred", "score"])
-
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text).alias("__t")).mapInArrow(score, schema)
+        m = Model(langs, sent.value)
+        for b in tx.slices(batches, "t"):
+            pred, p = m(b.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(pred, pa.string()), pa.array(p)], [key, "lang_pred", "score"])
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return rows.mapInArrow(score, f"{key} {rows.schema['k'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -122,6 +135,15 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) ->
 
     A text goes if it is null, has no letter, or its best language has a posterior below `least`.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))  # no name in docs can clash
-    out = predict(spark, rows, fit(spark, docs), keep=("row",))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    langs, matrix = fit(spark, docs)
+    sent = spark.sparkContext.broadcast(matrix.tobytes())
+
+    @F.arrow_udf(T.BooleanType())
+    def keep(text: pa.Array) -> pa.Array:
+        m, out = Model(langs, sent.value), []
+        for b in tx.slices([pa.record_batch([text], ["t"])], "t"):
+            pred, p = m(b.column("t").to_pylist())
+            out += [x != UNKNOWN and y >= least for x, y in zip(pred, p)]
+        return pa.array(out, pa.bool_())
+
+    return docs.where(keep("text"))

@@ -44,7 +44,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide.",
 }
-_WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
+_WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+(?:[\-'][^\W_]+)*")
 
 
 class Template:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from brindle.llm import text as tx
 from brindle.llm.tables import Scratch
 
-CACHED = 400_000
+CACHED = 150_000
 _AFTER_SPACE = re.compile(r"\s ")
 
 
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int,
     def cut(batches):
         t = token_table(path, pattern)
         end = np.array([end_id], "<u4").tobytes()
-        for b in tx.slices(batches, "t", 1 << 23):
+        for b in tx.slices(batches, "t", 1 << 22):
             rows = []
             for k, (key_, ids) in enumerate(zip(b.column("k").to_pylist(), t.encode([x or "" for x in b.column("t").to_pylist()]))):
                 ids += end
