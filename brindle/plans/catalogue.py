@@ -13,7 +13,7 @@ from brindle.functions import identity as idn
 from brindle.functions import parse as pr
 from brindle.functions import scores as sc
 from brindle.functions import text as tf
-from brindle.operators import compare, mutate, news, quality, resolve, summary
+from brindle.operators import compare, mutate, news, quality, report, resolve, summary
 from brindle.plans import adapter as ad
 from brindle.sources import readers
 
@@ -653,3 +653,65 @@ def dom20_clean_reviews(spark, sf_dir):
 def dom19_import_preview(spark, sf_dir):
     r = ad.reviews(spark, sf_dir).select("review_id", "product_id", "raw_text", F.col("rating").cast("string").alias("rating"), F.col("review_date").cast("string").alias("review_date"), F.struct("seq", "review_id").alias("row_number"))
     return quality.preview(r).select("review_id", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
+
+
+# --- reports -----------------------------------------------------------------------------------
+
+PICKS = """picks AS (SELECT product_id, pick, aspect FROM (
+  SELECT product_id, 'strongest_positive' AS pick, aspect, row_number() OVER (PARTITION BY product_id ORDER BY positive_count DESC, mentions DESC, aspect_score DESC, aspect) AS k FROM asp WHERE positive_count > negative_count
+  UNION ALL SELECT product_id, 'strongest_negative', aspect, row_number() OVER (PARTITION BY product_id ORDER BY negative_count DESC, mentions DESC, abs(aspect_score) DESC, aspect) FROM asp WHERE negative_count > positive_count
+  UNION ALL SELECT product_id, 'polarized', aspect, row_number() OVER (PARTITION BY product_id ORDER BY mentions DESC, aspect) FROM asp WHERE positive_count > 0 AND negative_count > 0) WHERE k = 1)"""
+
+
+@query("SELECT * FROM picks", RV, ASP, PICKS)
+def srt11_dom33_aspect_picks(spark, sf_dir):
+    return report.aspect_picks(summary.aspect_summary(ad.reviews(spark, sf_dir)))
+
+
+@query(
+    f"""SELECT product_id, card, value, CASE card WHEN 'review_count' THEN CASE WHEN n < 30 THEN 'low_volume' ELSE 'stronger_volume' END END AS status FROM (
+    SELECT product_id, 'review_count' AS card, CAST(count(*) AS DOUBLE) AS value, count(*) AS n FROM reviews GROUP BY product_id UNION ALL SELECT product_id, 'average_rating', {R(M("rating"), 2)}, 0 FROM reviews GROUP BY product_id)""", RV,
+)
+def dom30_kpi_cards(spark, sf_dir):
+    cards = report.kpi_cards(summary.product_summary(scored(spark, sf_dir)), summary.net_sentiment(ad.reviews(spark, sf_dir)))
+    return cards.where(F.col("card").isin("review_count", "average_rating"))
+
+
+@query(
+    """SELECT product_id, tile, status FROM (SELECT product_id, (SELECT count(*) FROM reviews r WHERE r.product_id = p.product_id) AS n, EXISTS (SELECT 1 FROM picks k WHERE k.product_id = p.product_id AND pick = 'strongest_positive') AS g, EXISTS (SELECT 1 FROM picks k WHERE k.product_id = p.product_id AND pick = 'strongest_negative') AS b FROM (SELECT DISTINCT product_id FROM reviews) p)
+    CROSS JOIN LATERAL (VALUES ('customer_signal', CASE WHEN g THEN 'active' ELSE 'thin_evidence' END), ('risk_signal', CASE WHEN b THEN 'active' ELSE 'thin_evidence' END), ('evidence_volume', CASE WHEN n < 30 THEN 'low_volume' ELSE 'usable' END), ('benchmark_mode', 'product_only'), ('market_context', 'active')) t(tile, status)""", RV, ASP, PICKS,
+)
+def dom29_workflow_tiles(spark, sf_dir):
+    r = ad.reviews(spark, sf_dir)
+    return report.tiles(r.groupBy("product_id").agg(F.count("*").alias("review_count")), report.aspect_picks(summary.aspect_summary(r)), None, 1)
+
+
+CARD = "CASE WHEN positive_count > negative_count AND positive_count >= neutral_count THEN 'positive' WHEN negative_count > positive_count AND negative_count >= neutral_count THEN 'negative' WHEN neutral_count > positive_count AND neutral_count > negative_count THEN 'neutral' WHEN positive_count > 0 AND negative_count > 0 THEN 'mixed' ELSE 'unclear' END"
+
+
+@query(
+    f"""SELECT product_id, aspect, reaction, CASE reaction WHEN 'positive' THEN 'Users mostly like ' || t || '.' WHEN 'negative' THEN 'Users mostly complain about ' || t || '.' WHEN 'mixed' THEN 'Users are split on ' || t || '.' WHEN 'neutral' THEN 'Users mention ' || t || ', but sentiment is mostly neutral.'
+    ELSE CASE WHEN mentions <= 1 THEN upper(aspect[1]) || substr(t, 2) || ' has only one clear mention so far.' ELSE 'Users mention ' || t || ', but the sentiment direction is not clear yet.' END END AS one_liner,
+    CASE WHEN mentions < 3 THEN 'early' WHEN mentions < 10 THEN 'directional' ELSE 'stronger' END AS reason_confidence FROM (SELECT *, {CARD} AS reaction, lower(aspect) AS t FROM asp)""", RV, ASP,
+)
+def dom10_reason_cards(spark, sf_dir):
+    a = summary.aspect_summary(ad.reviews(spark, sf_dir))
+    return report.reason_cards(a).select("product_id", "aspect", "reaction", "one_liner", "reason_confidence")
+
+
+@query(None)
+def dom12_dom35_benchmark_summary(spark, sf_dir):
+    return report.benchmark_summary(compare.benchmark(ad.reviews(spark, sf_dir), "Brand#1", "Brand#2"))
+
+
+@query(None)
+def dom9_brief(spark, sf_dir):
+    r = ad.reviews(spark, sf_dir)
+    overall = compare.overall_direction(compare.forecast(r, "1998-01-01", "1998-01-31"))
+    return report.brief(summary.product_summary(scored(spark, sf_dir)), summary.net_sentiment(r), report.aspect_picks(summary.aspect_summary(r)), overall)
+
+
+@query("SELECT task, arg_min(provider_id, place) AS selected, coalesce(string_agg(CASE WHEN k > 1 THEN provider_id END, ',' ORDER BY place), '') AS fallbacks FROM (SELECT 'task' || n_regionkey AS task, n_name AS provider_id, n_nationkey AS place, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation WHERE n_nationkey % 3 <> 0) GROUP BY task")
+def dom26_router(spark, sf_dir):
+    n = ad.table(spark, sf_dir, "nation")
+    return report.route(n.select(F.concat(F.lit("task"), F.col("n_regionkey").cast("string")).alias("task"), F.col("n_name").alias("provider_id"), F.col("n_nationkey").alias("place"), (F.col("n_nationkey") % 3 != 0).alias("enabled")))
