@@ -66,6 +66,6 @@ def classify(items: DataFrame, title: str = "title", summary: str = "summary", t
 def brief(items: DataFrame, k: int = 8) -> DataFrame:
     """(family, tag, n): the k most frequent tags of each family (a top-k report)."""
     families = F.array(*(F.struct(F.lit(f).alias("family"), F.col(c).alias("tags")) for f, c in (("topic", "topic_tags"), ("company", "company_tags"), ("technology", "technology_tags"), ("region", "region_tags"))), F.struct(F.lit("priority").alias("family"), F.array("priority_label").alias("tags")))
-    rows = items.select(F.explode(families).alias("f")).select("f.family", F.explode("f.tags").alias("tag"))
+    rows = items.select(F.explode_outer(families).alias("f")).select("f.family", F.explode_outer("f.tags").alias("tag")).where("tag is not null")
     g = rows.groupBy("family", "tag").agg(F.count("*").alias("n"))
     return g.withColumn("place", F.row_number().over(W.partitionBy("family").orderBy(F.desc("n"), "tag"))).where(F.col("place") <= k)

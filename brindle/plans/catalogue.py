@@ -559,13 +559,13 @@ SAID = [(0, "battery", "negative"), (0, "camera", "positive"), (1, "heating", "n
 
 @query("SELECT review_id, aspect, said.sentiment FROM (SELECT review_id, raw_text FROM reviews) r JOIN (VALUES " + ", ".join(f"('{ad.SENTENCES[k]}', '{a}', '{m}')" for k, a, m in SAID) + ") said(raw_text, aspect, sentiment) ON r.raw_text = said.raw_text", RV)
 def dom1_aspect_extraction(spark, sf_dir):
-    r = ad.reviews(spark, sf_dir).select("review_id", tf.normalise_spelling(tf.clean(F.col("raw_text"))).alias("clean_text"))
-    return asp.with_aspects(r, "clean_text").select("review_id", F.explode("aspects").alias("a")).select("review_id", "a.aspect", "a.sentiment")
+    r = ad.spread(ad.reviews(spark, sf_dir).select("review_id", tf.normalise_spelling(tf.clean(F.col("raw_text"))).alias("clean_text")))
+    return asp.with_aspects(r, "clean_text").select("review_id", F.inline_outer("aspects")).where("aspect is not null").select("review_id", "aspect", "sentiment")
 
 
 @query(None)
 def dom2_dom3_review_analysis(spark, sf_dir):
-    a = quality.needs_review(quality.analyse(ad.reviews(spark, sf_dir).select("review_id", "product_id", "raw_text", "rating", "verified_purchase", "helpful_votes")))
+    a = quality.needs_review(quality.analyse(ad.spread(ad.reviews(spark, sf_dir).select("review_id", "product_id", "raw_text", "rating", "verified_purchase", "helpful_votes"))))
     return a.select("review_id", "clean_text", "language_profile.primary_language", F.array_join("signal_types", ",").alias("signals"), F.size("aspects").alias("n_aspects"), "contradiction_flag", "sarcasm_flag", "quality_score", "route_reason")
 
 
