@@ -153,3 +153,23 @@ def test_sources(spark, tmp_path):
     page = '<div data-hook="review"><i data-hook="review-star-rating"><span>4.0 out of 5</span></i><span data-hook="review-body"><b>Good</b> phone &amp; more</span></div><div data-hook="review"><span data-hook="review-body"></span></div>'
     cards = readers.review_pages(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
     assert [(c.page_id, c.body) for c in cards] == [(1, "Good phone & more")]
+
+
+def test_golden_report(spark):
+    rows = [(str(k), "p", t, float(r)) for k, (t, r, *_) in enumerate(SENTENCES)]
+    analysed = quality.analyse(spark.createDataFrame(rows, "review_id string, product_id string, raw_text string, rating double"))
+    f = quality.facts(analysed, "review_id", "product_id")
+    predicted = f.select("review_id", "aspect", F.col("sentiment").alias("label"))
+    want = [(str(k), a, m) for k, (_, _, w, _) in enumerate(SENTENCES) for a, m in w.items()]
+    expected = spark.createDataFrame(want, "review_id string, aspect string, label string")
+    report = compare.label_report(compare.label_match(expected, predicted, "review_id", "aspect"), "review_id").first()
+    assert report.recall >= 0.45 and report.sentiment_accuracy >= 0.65 and report.expected == len(want)
+
+
+def test_second_opinion(spark):
+    schema = "review_id string, aspects array<struct<aspect:string,sentiment:string>>, quality_score double, contradiction_flag boolean, sarcasm_flag boolean"
+    rules = spark.createDataFrame([("a", [("camera", "positive")], 0.5, False, False), ("b", [], 0.5, True, False)], schema)
+    other = spark.createDataFrame([("a", [("camera", "negative"), ("x", "odd")], 0.9, True, False), ("b", [("x", "odd")], 0.9, False, True)], schema)
+    got = {r.review_id: r for r in quality.merge_second_opinion(rules, other).collect()}
+    assert [x.sentiment for x in got["a"].aspects] == ["negative"] and got["a"].quality_score == 0.72 and got["a"].contradiction_flag
+    assert got["b"].aspects == [] and got["b"].quality_score == 0.5 and not got["b"].sarcasm_flag
