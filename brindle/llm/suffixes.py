@@ -16,8 +16,9 @@ task. Places are ordered by (doc_id, word): the smallest is the original, the re
 Words are runs of bytes other than space and \\x09-\\x0D with A-Z lower-cased.
 
 Nulls and edges: null and empty texts and those with fewer words than the window have no span, nor
-have rows with null ids; doc_id is taken as the key of the text; spans of one document may be
-copies of each other; other columns play no part.
+have rows with null ids; spans of one document may be copies of each other; other columns play no
+part. Rows that repeat a doc_id are texts of their own: `spans` names them by doc_id alone, so that a
+repeated row is found as a copy under the same id; `cut_copies` numbers them, so that one stays whole.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from brindle.llm.tables import Scratch
 
 WORDS = 50
 BITS = 25
+ROW = 32  # places of rows that repeat an id hold the row's number above so many bits
 FLUSH = 1 << 20
 U = np.uint64
 
@@ -103,14 +105,18 @@ def _held(group: pa.Table, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in kinds.items()]
 
 
-def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, bits: int = BITS, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, first_word, end_word, is_copy): maximal spans of repeated windows.
 
     is_copy: the span is made of windows that occur at a smaller place too. Words of originals
     are in spans with is_copy false; spans of the two kinds may overlap.
+    row: a column that numbers the rows of an id (under 2**31); spans then have it as `row`, and
+    places are ordered by (doc_id, row, word).
     """
     scratch = Scratch(spark, "suffixes")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    place = np.int64 if row else np.int32
+    number = [F.col(row).cast("long").alias("row")] if row else []
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *number).where("doc_id is not null and text is not null")
     parts = 1 << max(9, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     top = U(64 - (parts.bit_length() - 1))
 
@@ -157,7 +163,10 @@ def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, bits: int =
             doc, at, low, h, _ = windows(*tx.utf8(b.column("text")), words)
             slot = tx.mix(low) & U((1 << bits) - 1)
             on = np.flatnonzero(marked[(slot >> U(6)).astype(np.int64)] >> (slot & U(63)) & U(1))
-            got.append((h[on], ids[doc[on]], at[on].astype(np.int32)))
+            at = at[on].astype(place)
+            if row:
+                at += b.column("row").to_numpy()[doc[on]] << ROW
+            got.append((h[on], ids[doc[on]], at))
             held += len(on)
             if held >= FLUSH:
                 yield from settle(got)
@@ -179,7 +188,7 @@ def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, bits: int =
 
     def compare(batches):
         for g in runs(batches, ["part"]):
-            h, doc, at, many = _held(g, h=U, doc=np.int64, at=np.int32, many=bool)
+            h, doc, at, many = _held(g, h=U, doc=np.int64, at=place, many=bool)
             order = np.lexsort((at, doc, h))
             h, doc, at, many = h[order], doc[order], at[order], many[order]
             first = np.concatenate(([True], h[1:] != h[:-1]))
@@ -195,33 +204,63 @@ def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, bits: int =
     met = found.where("h is not null").repartition("part").sortWithinPartitions("part").mapInArrow(compare, "part long, doc binary, at binary, copy binary")
     settled = found.where("h is null").select("part", "doc", "at", F.lit(None).cast("binary").alias("copy"))
 
+    names = ["doc_id", "first_word", "end_word", "is_copy", *["row"] * bool(row)]
+
     def merge(batches):
         for g in runs(batches, ["part"]):
-            doc, at = _held(g, doc=np.int64, at=np.int32)
+            doc, at = _held(g, doc=np.int64, at=place)
             copy = np.frombuffer(b"".join(c if c is not None else b"\1" * (len(d) // 8) for c, d in zip(g.column("copy").to_pylist(), g.column("doc").to_pylist())), bool)
             order = np.lexsort((at, doc, copy))
             doc, at, copy = doc[order], at[order].astype(np.int64), copy[order]
             new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (at[1:] > at[:-1] + words))))
             last = np.append(new[1:], len(at)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(at[new]), pa.array(at[last] + words), pa.array(copy[new])], ["doc_id", "first_word", "end_word", "is_copy"])
+            word = at & ((1 << ROW) - 1)
+            extra = [pa.array(at[new] >> ROW)] if row else []
+            yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(word[new]), pa.array(word[last] + words), pa.array(copy[new]), *extra], names)
 
     places = met.unionByName(settled).repartition("part").sortWithinPartitions("part")
-    return places.mapInArrow(merge, "doc_id long, first_word long, end_word long, is_copy boolean")
+    return places.mapInArrow(merge, "doc_id long, first_word long, end_word long, is_copy boolean" + ", row long" * bool(row))
 
 
 def _of(doc: np.ndarray, parts: int) -> np.ndarray:
     return (tx.mix(doc.astype(U)) & U(parts - 1)).astype(np.int64)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(row, key, t, nth): docs as structs, their id and text, and a number that tells rows of one id apart; whether any id repeats.
+
+    Rows that repeat an id are written out first, so that each keeps its number when read again.
+    """
+    scratch = Scratch(spark, "numbered")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("t"))
+    ids = scratch.save(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "ids")
+    if ids.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long")), False
+    again = scratch.save(rows.join(ids, "key", "left_semi").select("row", "key", "t").withColumn("nth", F.monotonically_increasing_id()), "rows")
+    part, at = F.shiftright("nth", 33), F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r.part, r.n) for r in again.groupBy(part.alias("part")).agg((F.max(at) + 1).alias("n")).collect())  # a row per task
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    starts = F.broadcast(spark.createDataFrame(starts, "part long, start long"))
+    again = again.join(starts, part == F.col("part")).select("row", "key", "t", (F.col("start") + at).alias("nth"))
+    return rows.join(ids, "key", "left_anti").select("row", "key", "t", F.lit(0).cast("long").alias("nth")).unionByName(again), True
+
+
 def cut_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with the words of copies cut out of text; the original of each window stays, as does all other text.
 
-    n_chars, where there is such a column, follows the text. Rows stay even if their text is all copies.
+    n_chars, where there is such a column, follows the text. Rows stay even if their text is all copies;
+    of rows that repeat id and text, one keeps the text.
     """
-    found = spans(spark, docs.select("doc_id", "text"), words).where("is_copy").select(F.col("doc_id").alias("id"), F.struct("first_word", "end_word").alias("span"))
-    found = found.groupBy("id").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # of one document, as long as its text at most
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("t")).join(found, F.col("key") == F.col("id"), "left")
+    rows, repeat = _numbered(spark, docs)
+    found = spans(spark, rows, words, key="key", text="t", row="nth" if repeat else None).where("is_copy")
+    nth = F.col("row") if repeat else F.lit(0).cast("long")
+    found = found.select(F.col("doc_id").alias("id"), nth.alias("id_nth"), F.struct("first_word", "end_word").alias("span"))
+    found = found.groupBy("id", "id_nth").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # of one row, as long as its text at most
+    rows = rows.join(found, (F.col("key") == F.col("id")) & (F.col("nth") == F.col("id_nth")), "left")
 
     def cut(batches):
         for b in tx.slices(batches, "t"):

@@ -216,6 +216,17 @@ def test_suffixes_keep_columns(spark, small, odd):
     assert suffixes.cut_copies(spark, odd).count() == odd.count()
 
 
+def test_suffixes_of_rows_that_repeat_an_id(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"x{k}" for k in range(80))
+    rows = [(7, passage, "a"), (7, passage, "a"), (7, other, "a"), (8, "lead " + passage, "b"), (9, other + " tail", "c"), (None, passage, "d"), (3, "lone " + " ".join(f"y{k}" for k in range(60)), "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = defaultdict(list)
+    for r in suffixes.cut_copies(spark, df).collect():
+        got[r.doc_id].append(r.text.strip())
+    assert {k: sorted(v) for k, v in got.items()} == {7: sorted(["", passage, other]), 8: ["lead"], 9: ["tail"], None: [passage], 3: [rows[6][1]]}
+
+
 def test_sentencepiece(spark, small, odd, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.MODEL))
     for df in (small, odd):
