@@ -3,7 +3,8 @@
 Features of a text are present-or-absent buckets of single words, neighbouring pairs and pairs
 with one word between (letters, digits and non-ASCII characters make words, in lower case).
 Training takes a bounded sample of labelled rows: of each label the rows whose hashed ids
-are smallest, as many of each, `sample` at most. They are dealt out by `shard` rows, each task runs FTRL-proximal with
+are smallest, `sample` at most. The rows taken of the two labels weigh the same in total; where the bound
+leaves rows out, the bias is corrected by the log of the shares taken. They are dealt out by `shard` rows, each task runs FTRL-proximal with
 per-coordinate rates and L1, and the weights are averaged. L1 leaves few weights, which are
 broadcast as index and value; their number is bounded by the sample, not by the corpus.
 
@@ -46,8 +47,8 @@ def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray,
     return (np.concatenate(out) >> shift).astype(np.int64), np.concatenate(docs)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """(weights, bias) of logistic regression on rows of present buckets, by FTRL-proximal."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, cost: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+    """(weights, bias) of logistic regression on rows of present buckets, by FTRL-proximal; cost: what a row of label 0 and of 1 weighs."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = bias = 0.0
     order = np.random.default_rng(7)
@@ -59,6 +60,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EP
             w = np.where(np.abs(zx) > l1, (np.sign(zx) * l1 - zx) / ((beta + root) / alpha + l2), 0.0)
             bias = -bz / ((beta + bn**0.5) / alpha)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - labels[k]
+            g *= cost[labels[k]]
             z[x] = zx + g - (np.sqrt(nx + g * g) - root) / alpha * w
             n[x] = nx + g * g
             bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / alpha * bias
@@ -68,15 +70,17 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = EP
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, bias). Learns from the labels given: as many rows of each value, at most `sample`."""
+    """(buckets, weights, bias). Learns from the labels given: all rows of each value up to `sample`."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y")).select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y"))
     known = known.withColumn("r", F.xxhash64(F.lit(11), "doc_id"))
     have = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(have) < 2:
         return np.zeros(0, np.int64), np.zeros(0), 20.0 if have.get(1) else -20.0
-    n = min(sample, *have.values())
-    shards = -(-2 * n // shard)
-    picked = [known.where(F.col("y") == y).orderBy("r", "doc_id").limit(n) for y in (0, 1)]
+    n = {y: min(sample, have[y]) for y in (0, 1)}
+    left_out = float(np.log(have[1] / n[1]) - np.log(have[0] / n[0]))  # 0 where all rows are taken
+    cost = (sum(n.values()) / n[0] / 2, sum(n.values()) / n[1] / 2)
+    shards = -(-sum(n.values()) // shard)
+    picked = [known.where(F.col("y") == y).orderBy("r", "doc_id").limit(n[y]) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("id"), "y", F.pmod("r", F.lit(shards)).alias("shard"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("shard", "doc_id", "text", "y")  # at most 2 x sample rows
 
@@ -88,7 +92,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             g = np.unique(doc << bits | g)
             edge = np.searchsorted(g, np.arange(b.num_rows + 1) << bits)
             xs += [g[a:z] & ((1 << bits) - 1) for a, z in zip(edge, edge[1:])]
-        w, bias = ftrl(xs, table.column("y").to_numpy(), bits)
+        w, bias = ftrl(xs, table.column("y").to_numpy(), bits, cost=cost)
         at = np.flatnonzero(w)
         return pa.table({"g": np.append(at, -1), "w": np.append(w[at], bias)})
 
@@ -98,7 +102,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     tasks = max(int((at < 0).sum()), 1)
     np.add.at(w, at[at >= 0], values[at >= 0] / tasks)
     keep = np.flatnonzero(np.abs(w) > 1e-3)
-    return keep, w[keep], float(values[at < 0].sum() / tasks)
+    return keep, w[keep], float(values[at < 0].sum() / tasks) + left_out
 
 
 class Model:
@@ -118,7 +122,7 @@ class Model:
 
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score) of every row, score being the probability of label 1."""
+    """(doc_id, score) of every row, score being the probability of label 1 where both labels weigh the same (see fit for the bound)."""
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -1,6 +1,7 @@
 """Each operator against brute force, the exact library or held-out labels, and on the edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -179,6 +180,19 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == clash(docs).columns and kept.count() <= 50
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.judge(spark, docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    clean = got[got.held_out & (got.toxic == 0)]
+    assert (clean.predicted == 1).mean() < 0.005
+    counts = dict(labels.groupBy("toxic").count().collect())
+    full, few = (toxicity.fit(spark, docs, labels, sample=n)[2] for n in (6144, 200))
+    monkeypatch.setattr(toxicity.np, "log", lambda x: 0.0)  # without the correction
+    assert toxicity.fit(spark, docs, labels, sample=6144)[2] == full
+    assert abs(few - toxicity.fit(spark, docs, labels, sample=200)[2] - math.log(counts[1] / counts[0])) < 1e-9
+
+
 def brute_spans(rows, words):
     import re
 
