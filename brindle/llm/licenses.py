@@ -1,10 +1,10 @@
 """License scans by conditional compression, confirmed by exact wording.
 
-A trigger word starts a candidate; every template must hold one, so that no candidate is missed.
-For each template the block of text that it would cover around the trigger is compressed twice with
-zstandard, once plainly and once with the template as raw dictionary. The templates are
-ranked by how much of the size that takes away. The best few are aligned with the block word by
-word, and the first whose wording differs in no more than a tenth of its words is the
+A trigger word starts a candidate; every template must hold one, so that a text is missed only if all its trigger words are altered.
+For each trigger word of each template, the block of text that the template would cover around the trigger is compressed twice with
+zstandard, once plainly and once with the template as raw dictionary. Every block that this makes
+smaller is aligned with the template word by word. Of those that hold the trigger and whose wording differs in
+no more than a tenth of the template's words, the longest with the fewest differences is the
 match; the differences are part of the result.
 
 Nulls and edges: null and empty texts have no match; a text may have many matches, which don't
@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -55,15 +56,15 @@ class Template:
             raise ValueError(f"the template {name} holds no trigger word")
         starts = [m.start() for m in _WORD.finditer(text)]
         where = [bisect.bisect_right(starts, a) - 1 for a in at]
-        self.before, self.after = where[0], len(self.words) - where[0]
+        self.where, self.counts = sorted(set(where)), Counter(self.words)
         self.slack = len(self.words) // 10
         raw = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zip = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], trigger: str = TRIGGER, best: int = 4):
-        self.trigger, self.best = re.compile(trigger, re.I), best
+    def __init__(self, templates: dict[str, str], trigger: str = TRIGGER):
+        self.trigger = re.compile(trigger, re.I)
         self.templates = [Template(n, t, self.trigger) for n, t in sorted(templates.items())]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
 
@@ -79,15 +80,18 @@ class Scanner:
             k = bisect.bisect_right(starts, t) - 1
             if k < done:
                 continue
-            ranked = []
+            good = []
             for tp in self.templates:
-                a, b = max(done, k - tp.before - tp.slack), min(len(places), k + tp.after + tp.slack)
-                words = [text[x:y].lower() for x, y in places[a:b]]
-                block = " ".join(words).encode()
-                size = len(self.plain.compress(block))
-                ranked.append(((size - len(tp.zip.compress(block))) / size, tp, a, words))
-            ranked.sort(key=lambda r: (-r[0], -len(r[1].words), r[1].name))
-            good = [g for share, tp, a, words in ranked[: self.best] if share > 0 and (g := self.confirm(tp, a, words, share))]
+                n = len(tp.words)
+                for a, b in sorted({(max(done, k - w - tp.slack), min(len(places), k + n - w + tp.slack)) for w in tp.where}):
+                    words = [text[x:y].lower() for x, y in places[a:b]]
+                    if (tp.counts & Counter(words)).total() < n - tp.slack:  # each word that is not there is an edit
+                        continue
+                    block = " ".join(words).encode()
+                    size = len(self.plain.compress(block))
+                    share = (size - len(tp.zip.compress(block))) / size
+                    if share > 0 and (g := self.confirm(tp, a, words, share)) and g[1] <= k < g[2]:
+                        good.append(g)
             if good:  # of confirmed templates, the longest wording with the fewest differences
                 name, a, b, share, edits, differences, _ = max(good, key=lambda g: (g[6] - 2 * g[4], g[3]))
                 out.append((name, places[a][0], places[b - 1][1], share, edits, differences))

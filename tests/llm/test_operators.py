@@ -144,6 +144,18 @@ def test_licenses(spark, odd, none):
     assert plain and found == plain
 
 
+def test_licenses_by_any_trigger(spark):
+    cut = {n: licenses.TEMPLATES[n].split(" ", 1)[1] for n in ("MIT text", "ISC text", "BSD-2-Clause text")}
+    cut["GPL-3.0 header"] = licenses.TEMPLATES["GPL-3.0 header"].replace("redistribute", "share")
+    near = {f"T{k}": "Redistribution of this work is allowed to any person for " + w for k, w in enumerate(("study", "trade", "play", "art", "war", "love"))}
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for n, t in cut.items():
+        assert [(m[0], m[4]) for m in scanner.scan(f"before it. {t} after it")] == [(n, 1)]
+    assert [m[0] for m in licenses.Scanner(near).scan(near["T5"])] == ["T5"]
+    both = "Released under the MIT License. " + licenses.TEMPLATES["MIT text"]
+    assert [m[0] for m in scanner.scan(both)] == ["MIT", "MIT text"]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/1", "<html lang='en'><title>T &amp; t</title><script>x</script><p>Hi<b>!</b><br>there <a href='/l'>link</a></html>"), (2, None, None), (3, "http://a/3", "")]
     recs = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
