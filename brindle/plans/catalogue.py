@@ -354,6 +354,27 @@ def agg22_dom18_label_report(spark, sf_dir):
     return compare.label_report(_labels(spark, sf_dir), "doc_id")
 
 
+# The same over all labels: what is missed and extra follows from the values of columns
+LABELS_ALL = "e AS (SELECT doc_id AS c, 'quality' AS a, CAST(quality AS VARCHAR) AS l FROM labels), p AS (SELECT doc_id AS c, CASE WHEN toxic = 1 THEN 'toxicity' ELSE 'quality' END AS a, '1' AS l FROM labels), m AS (SELECT coalesce(e.c, p.c) AS c, CASE WHEN p.l IS NULL THEN 'missed' WHEN e.l IS NULL THEN 'extra' WHEN e.l = p.l THEN 'exact' ELSE 'matched' END AS o FROM e FULL JOIN p ON e.c = p.c AND e.a = p.a)"
+
+
+def _labels_all(spark, sf_dir):
+    t = ad.table(spark, sf_dir, "labels")
+    e = t.select("doc_id", F.lit("quality").alias("aspect"), F.col("quality").cast("string").alias("label"))
+    p = t.select("doc_id", F.when(F.col("toxic") == 1, "toxicity").otherwise("quality").alias("aspect"), F.lit("1").alias("label"))
+    return compare.label_match(e, p, "doc_id", "aspect")
+
+
+@query("SELECT c AS doc_id, o AS outcome FROM m", LABELS_ALL)
+def joi9_set1_set2_label_match_all(spark, sf_dir):
+    return _labels_all(spark, sf_dir).select("doc_id", "outcome")
+
+
+@query(ORACLES["agg22_dom18_label_report"].removeprefix(f"WITH {LABELS} "), LABELS_ALL)
+def agg22_dom18_label_report_all(spark, sf_dir):
+    return compare.label_report(_labels_all(spark, sf_dir), "doc_id")
+
+
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def joi10_win1_latest(spark, sf_dir):
     return summary.latest_by(ad.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
@@ -516,6 +537,22 @@ def _upsert(spark, sf_dir):
     return s, c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"))
 
 
+# The same over all customers, whose keys are shifted so that some suppliers have none
+@query("SELECT coalesce(i.k, s.k) AS k, coalesce(i.n, s.n) AS name, coalesce(i.b, s.b) AS balance FROM (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS b FROM supplier) s FULL JOIN (SELECT c_custkey + 5 AS k, CASE WHEN c_acctbal > 0 THEN c_name END AS n, c_acctbal AS b FROM customer) i ON s.k = i.k")
+def ups4_upsert_keep_all(spark, sf_dir):
+    return mutate.upsert(*_upsert_all(spark, sf_dir), ["k"], keep_stored=True)
+
+
+@query("SELECT coalesce(i.k, s.k) AS k, CASE WHEN i.k IS NOT NULL THEN i.n ELSE s.n END AS name, coalesce(i.b, s.b) AS balance FROM (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS b FROM supplier) s FULL JOIN (SELECT c_custkey + 5 AS k, CASE WHEN c_acctbal > 0 THEN c_name END AS n, c_acctbal AS b FROM customer) i ON s.k = i.k")
+def ups6_upsert_overwrite_all(spark, sf_dir):
+    return mutate.upsert(*_upsert_all(spark, sf_dir), ["k"], keep_stored=False)
+
+
+def _upsert_all(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "customer")
+    return _upsert(spark, sf_dir)[0], c.select((F.col("c_custkey") + 5).alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"))
+
+
 @query("SELECT user_id, event_type, value FROM events WHERE event_id < 500 UNION ALL SELECT user_id, event_type, value FROM (SELECT * FROM events WHERE event_id >= 500 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1) n WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id < 500 AND o.user_id = n.user_id AND o.event_type = n.event_type)")
 def ups1_ups8_ups10_ups12_insert_or_ignore(spark, sf_dir):
     e = ad.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")

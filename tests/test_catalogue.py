@@ -45,3 +45,12 @@ def test_entry(spark):
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(SF)
+
+
+def test_upserts_and_labels_leave_no_row_out(spark, duck):
+    ids, docs = (duck.execute(f"select count(*) from {t}").fetchone()[0] for t in ("customer", "labels"))
+    for name in ("ups4_upsert_keep_all", "ups6_upsert_overwrite_all"):
+        assert catalogue.QUERIES[name](spark, SF).where("k >= 5").count() == ids
+    got = catalogue.QUERIES["joi9_set1_set2_label_match_all"](spark, SF)
+    assert got.select("doc_id").distinct().count() == docs
+    assert {r.outcome for r in got.select("outcome").distinct().collect()} == {"missed", "extra", "exact", "matched"}
