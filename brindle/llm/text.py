@@ -57,6 +57,14 @@ def utf8(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a large binary column without nulls."""
+    _, off, data = col.buffers()
+    off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[off[0] : off[-1]], off - off[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = (h ^ (h >> U64(33))) * U64(0xFF51AFD7ED558CCD)
