@@ -1,26 +1,30 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit: pieces are range-sorted by length over the cluster and written
-with their place in that order. Each superstep takes one length, longest first: the pieces
-of that length sweep over the gaps from the smallest that holds one (the successor) upwards,
-conflicts for gaps of one size are resolved by rank, and the gaps are updated; pieces left
-over open new sequences. Lengths and gaps are at most `capacity` different numbers, so a
-superstep needs only how many pieces and gaps there are of each; these counts (their size
-doesn't follow the corpus) are swept on the driver, and every match of a run of ranks with a
-run of gaps is applied to the rows by position, where they lie. No row moves after the sort.
+Bulk-synchronous best fit over two tables, pieces that have no place yet and gaps in sequences.
+A superstep range-sorts both together by size over the cluster and sweeps from small to large: a gap takes
+the largest piece before it that no smaller gap has taken, so a piece goes to its successor, the smallest
+gap that holds it, and of the pieces that ask for one gap the rank in the order decides. Each
+task sweeps its own range; pieces and gaps that it leaves over are counted, one row a task, and the counts
+alone say which rank of which range meets which (pieces wait on a stack, gaps take from its top), so that
+matches across ranges are one equi join. Then gaps are updated and the next superstep starts. A gap that holds the largest
+waiting piece several times over is offered as that many slots. Where a sweep matches nothing, new
+sequences are opened, as many as the waiting tokens fill at least, never more. Pieces as
+long as a sequence are sequences of their own from the start.
 
 The same vocabulary is given as a tokenizer file and as byte-pair ranks; the ranks serve the
-faster library, whose ids are the same (tests hold it against the other). Spaces after other
+faster library, whose ids are the same (tests hold it against the other), and the file names its special tokens,
+which texts may hold: their strings become their ids, as that library has it by default. Spaces after other
 characters start a new token, so each task keeps a bounded table of distinct chunks.
 
 Nulls and edges: null counts as empty text; an empty text is one piece of the end id alone;
-rows repeat as often as the input has them; an empty table packs into no sequence; other
+rows repeat as often as the input has them; ids of any type, also null, are carried along; an empty table packs into no sequence; other
 columns play no part.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -28,10 +32,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import text as tx
 from brindle.llm.tables import Scratch
@@ -40,21 +47,31 @@ CACHED = 150_000
 _AFTER_SPACE = re.compile(r"\s ")
 
 
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The (string, id) of the special tokens that a tokenizer file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("special tokens that take in their surroundings are not supported")
+    return tuple((t["content"], t["id"]) for t in added)
+
+
 class TokenTable(dict):
     """chunk that follows a space -> its ids, with that space, as little-endian bytes."""
 
     longest = 64
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         super().__init__()
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("brindle", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("brindle", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+        self.special = [s for s, _ in special]
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)
         self.spaced[[i for b, i in ranks.items() if b[:1] == b" "]] = True
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.bpe.encode(text, allowed_special="all", disallowed_special=()), "<u4").tobytes()
 
     def segment(self, chunks: list[str]) -> dict[str, bytes]:
         plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
@@ -72,7 +89,7 @@ class TokenTable(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text as little-endian bytes."""
-        whole = {k: self.ids(t) for k, t in enumerate(texts) if _AFTER_SPACE.search(t)}
+        whole = {k: self.ids(t) for k, t in enumerate(texts) if _AFTER_SPACE.search(t) or any(s in t for s in self.special)}
         chunks = tx.Chunks(["" if k in whole else t for k, t in enumerate(texts)])
         known = [self.get(c) for c in chunks.distinct]
         got = self.segment([c for c, i in zip(chunks.distinct, known) if i is None])
@@ -84,18 +101,18 @@ class TokenTable(dict):
 
 
 @lru_cache(maxsize=2)
-def token_table(path: str, pattern: str) -> TokenTable:
-    return TokenTable(path, pattern)
+def token_table(path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> TokenTable:
+    return TokenTable(path, pattern, special)
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and end id, cut only where longer than `capacity`.
 
     All pieces but the first are full, so that the first alone is left to be packed.
     """
 
     def cut(batches):
-        t = token_table(path, pattern)
+        t = token_table(path, pattern, special)
         end = np.array([end_id], "<u4").tobytes()
         for b in tx.slices(batches, "t", 1 << 22):
             rows = []
@@ -111,80 +128,118 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int,
     return rows.mapInArrow(cut, f"doc_id {rows.schema['k'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit, longest first, over counts of pieces by length.
+def swept(size: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, gaps that take them): places in an order by size, pieces before gaps of their size.
 
-    Returns runs (length, first rank, pieces, first sequence, pieces per sequence, offset of the first):
-    piece j of a run goes to sequence `first + j // per` at `offset + (j % per) * length`.
+    A gap takes the last piece before it that no other has taken: pieces open brackets, gaps close
+    them, and a bracket and its partner are neighbours among the brackets of one depth.
     """
-    runs, gaps, opened = [], {}, 0  # gaps: size -> runs (first sequence, how many) with that much room
-
-    def place(length, rank, n, first, room):
-        per = room // length
-        runs.append((length, rank, n, first, per, capacity - room))
-        for at, many, held in ((first, n // per, per), (first + n // per, 1, n % per)):
-            if many and held and room - held * length:
-                gaps.setdefault(room - held * length, []).append((at, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        for room in sorted(g for g in gaps if g >= length):
-            while left and gaps.get(room):
-                first, many = gaps[room].pop()
-                per = room // length
-                use = min(many, -(-left // per))
-                if use < many:
-                    gaps[room].append((first + use, many - use))
-                n = min(left, use * per)
-                place(length, rank, n, first, room)
-                rank, left = rank + n, left - n
-            if not gaps.get(room):
-                gaps.pop(room, None)
-            if not left:
-                break
-        if left:
-            place(length, rank, left, opened, capacity)
-            opened += -(-left // (capacity // length))
+    depth = np.cumsum(np.where(gap, -1, 1)) + gap  # a piece's after it, a gap's before it
+    order = np.argsort(depth, kind="stable")
+    same = (depth[order[1:]] == depth[order[:-1]]) & ~gap[order[:-1]] & gap[order[1:]]
+    return order[:-1][same], order[1:][same]
+
+
+def meetings(left: dict[int, tuple[int, int]]) -> list[tuple[int, bool, int, int, int]]:
+    """Which of the pieces and gaps that ranges have left over meet, from their numbers alone.
+
+    left: range -> (pieces, gaps), both left over and in order of size. Returns runs
+    (range, whether gaps, first rank, end rank, key of the first); keys of gaps go up by rank, those of pieces down.
+    """
+    runs, waiting, key = [], [], 0
+    for at in sorted(left):
+        pieces, gaps = left[at]
+        taken = 0
+        while taken < gaps and waiting:
+            of, n = waiting.pop()
+            use = min(n, gaps - taken)
+            runs += [(of, False, n - use, n, key + use - 1), (at, True, taken, taken + use, key)]
+            taken, key = taken + use, key + use
+            if use < n:
+                waiting.append((of, n - use))
+        if pieces:
+            waiting.append((at, pieces))
     return runs
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _superstep(scratch: Scratch, waiting: DataFrame, gaps: DataFrame, largest: int, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(pieces placed, those that still wait, gaps, how many were placed) after one sweep.
+
+    waiting: names and n, a number of the piece; gaps: sequence and room.
+    """
+    spark = scratch.spark
+    slots = F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / largest))
+    slot = gaps.withColumn("slots", slots).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "slots")))
+    slot = slot.select("sequence", F.when(F.col("n") < F.col("slots"), F.lit(largest)).otherwise(F.col("room") - (F.col("slots") - 1) * largest).cast("long").alias("size"), F.lit(True).alias("gap"), "n")
+    piece = waiting.select("*", F.lit(None).cast("long").alias("sequence"), F.col("length").alias("size"), F.lit(False).alias("gap"))
+    every = piece.unionByName(slot, allowMissingColumns=True)
+    order = ["size", "gap", "sequence", "n"]
+    every = every.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def sweep(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        size, gap = t.column("size").to_numpy(), t.column("gap").to_numpy()
+        sequence = pc.fill_null(t.column("sequence"), 0).to_numpy().copy()
+        of, by = swept(size, gap)
+        rank = np.full(len(size), -1)
+        over = np.ones(len(size), bool)
+        over[of] = over[by] = False
+        for kind in (gap, ~gap):
+            rank[over & kind] = np.arange(int((over & kind).sum()))
+        size = size.copy()
+        sequence[of] = sequence[by]
+        size[by] -= size[of]
+        new = {"sequence": pa.array(sequence), "size": pa.array(size), "part": pa.array(np.full(len(size), TaskContext.get().partitionId())), "rank": pa.array(rank)}
+        out = pa.table({c: new[c] if c in new else t.column(c) for c in [*t.column_names, "part", "rank"]})
+        yield from out.to_batches(1 << 16)
+
+    fields = [*every.schema.fields, T.StructField("part", T.LongType()), T.StructField("rank", T.LongType())]
+    done = scratch.save(every.mapInArrow(sweep, T.StructType(fields)), "swept")
+    counts, here = {}, 0
+    for r in done.groupBy("part", "gap", (F.col("rank") >= 0).alias("over")).agg(F.count("*").alias("n")).collect():  # four rows a range
+        if r.over:
+            counts.setdefault(r.part, [0, 0])[r.gap] = r.n
+        elif not r.gap:
+            here += r.n
+    runs = meetings(counts)
+    found = spark.createDataFrame(runs, "of long, gaps boolean, low long, high long, first long")
+    at = (F.col("part") == F.col("of")) & (F.col("gap") == F.col("gaps")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    key = F.when(F.col("gap"), F.col("first") + F.col("rank") - F.col("low")).otherwise(F.col("first") - F.col("rank") + F.col("low"))
+    over = done.where("rank >= 0").join(F.broadcast(found), at, "left").withColumn("key", key)  # at most two runs a range
+    taken = over.where("not gap and key is not null").drop("sequence", "size")
+    met = scratch.save(taken.join(over.where("gap and key is not null").select("key", "sequence", "size"), "key").select(*names, "n", "sequence", (F.col("size") - F.col("length")).alias("size")), "met")
+    placed = done.where("not gap and rank < 0").select(*names, "sequence").unionByName(met.select(*names, "sequence"))
+    room = done.where("gap and rank < 0").select("sequence", "size").unionByName(met.select("sequence", "size")).unionByName(over.where("gap and key is null").select("sequence", "size"))
+    room = room.groupBy("sequence").agg(F.sum("size").alias("room"))
+    return placed, over.where("not gap and key is null").select(*names, "n"), room, here + sum(high - low for _, gap, low, high, _ in runs if gap)
+
+
+def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...] = (), capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
     scratch = Scratch(spark, "packing")
-    cut = scratch.save(pieces(docs, path, pattern, capacity, end_id, key, text), "pieces")
-    names, fields = cut.columns, ", ".join(f"{n} {t}" for n, t in cut.dtypes)
-
-    def number(batches):
-        at, part = 0, TaskContext.get().partitionId()
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part)), pa.array(np.arange(at, at + n))], [*b.schema.names, "part", "at"])
-            at += n
-
-    order = ["length", "doc_id", "piece", "ids_crc32"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = cut.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranked = scratch.save(ranked.mapInArrow(number, f"{fields}, part long, at long"), "sorted")
-    scratch.drop(cut)
-    sizes = {r.part: r.n for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    counts = {r.length: r.n for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    start, total = {}, 0
-    for p in sorted(sizes):
-        start[p], total = total, total + sizes[p]
-    first = dict(zip(sorted(counts), np.cumsum([0, *(counts[k] for k in sorted(counts))]).tolist()))
-    runs = sorted((first[length] + rank, seq, per, offset) for length, rank, _, seq, per, offset in sweep(counts, capacity))
-    sent = spark.sparkContext.broadcast((start, np.array(runs, np.int64).reshape(-1, 4)))
-
-    def assign(batches):
-        start, runs = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            col = {c: b.column(c).to_numpy() for c in ("part", "at", "length")}
-            place = col["at"] + np.array([start[p] for p in col["part"].tolist()])
-            run = runs[np.searchsorted(runs[:, 0], place, side="right") - 1]
-            j = place - run[:, 0]
-            made = [run[:, 1] + j // run[:, 2], run[:, 3] + j % run[:, 2] * col["length"]]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *map(pa.array, made)], [*names, "sequence_id", "offset"])
-
-    return ranked.mapInArrow(assign, f"{fields}, sequence_id long, offset long")
+    cut = pieces(docs, path, pattern, special, capacity, end_id, key, text)
+    names = cut.columns
+    cut = scratch.save(cut.withColumn("n", F.monotonically_increasing_id()), "pieces")
+    full = cut.where(F.col("length") == capacity).select(*names, (-1 - F.col("n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    waiting = cut.where(F.col("length") < capacity)
+    gaps = spark.createDataFrame([], "sequence long, room long")
+    placed, opened, matched = None, 0, 0
+    while True:
+        facts = waiting.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length")).first()
+        if not facts[0]:
+            break
+        gaps = gaps.where(F.col("room") >= facts[2])
+        if not matched:
+            more = -(-facts[1] // capacity)
+            gaps = gaps.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("room")))
+            opened += more
+        now, waiting, gaps, matched = _superstep(scratch, waiting, gaps, facts[3], names)
+        placed = now if placed is None else placed.unionByName(now)
+    if placed is None:
+        return full
+    before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)  # a sequence has `capacity` pieces at most
+    placed = placed.withColumnRenamed("sequence", "sequence_id")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).select(full.columns).unionByName(full)

@@ -26,7 +26,8 @@ def op1_language_id(spark, sf_dir):
 
 @_query
 def op2_best_fit_packing(spark, sf_dir):
-    return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
 
 
 @_query

@@ -15,25 +15,24 @@ so that it is found with one difference. How many of the first segments do so is
 found per set, which makes the choices of two sets nest; the set with the smaller one alone
 proves that the pair meets. A set too sparse for that keeps its empty segments.
 
-Buckets are gathered as packed arrays (no row per signature) and become groups of documents;
-equal groups count once. Of a group each member is first verified against its smallest
+Buckets are gathered as packed arrays (no row per signature) and become groups of documents, listed in
+chunks of BLOCK members; equal groups count once. Of a group each member is first verified against its smallest
 member; after connected components of those links, only pairs of members that are still in
-different components remain, and of these only pairs whose sizes and 512-bit parity sketches
+different components remain. In a group with several components the members outside its largest one meet
+each other and those inside, in pairs of blocks that are rows of their own, and of these pairs only those whose sizes and 512-bit parity sketches
 leave a link possible (each differing bit proves a differing element) are verified. Pairs
-inside a component can't change it and are never made, so copies and near-copies cost a link
-each. Equal sets are one class from the start. Verification reads the whole texts again.
+inside a component can't change it and are never made, so n near-copies cost n links and n rows for each signature. Equal sets are
+one class from the start. Verification reads the whole texts again: the text of a document with many partners travels once for BLOCK of them.
 
 Words are runs of bytes other than space and \\x09-\\x0D with A-Z lower-cased.
 
 Nulls and edges: null or wordless text has an empty set, linked with nothing; a text with
-fewer words than a shingle is one shingle; a null id gets a null component; rows repeat as
+fewer words than a shingle is one shingle; a null id gets a null component, an id that is no whole number raises; rows repeat as
 often as the input has them, each following its own text; other columns play no part.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,8 +44,9 @@ from brindle.llm.neardup import runs
 from brindle.llm.tables import Scratch, connected_components
 
 U = np.uint64
-BLOCK = 2048
+BLOCK = 1024
 FLUSH = 1 << 20
+MOST = 28  # a bitmap of 32 MB
 _SKETCH = [f"s{k}" for k in range(8)]
 
 
@@ -108,7 +108,10 @@ def measure(docs: DataFrame, words: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int, schemes: Schemes, parts: int) -> DataFrame:
-    """(members: sorted array of doc ids) of all buckets with more than one document; equal groups once."""
+    """(key, size, chunk, lead, members) of all buckets with more than one document; equal groups once.
+
+    lead is the smallest member; the others are listed in order, up to BLOCK of them in a chunk.
+    """
     shift = U(64 - (parts.bit_length() - 1))
 
     def pack(sigs, ids):
@@ -151,51 +154,63 @@ def groups(docs: DataFrame, words: int, schemes: Schemes, parts: int) -> DataFra
                 continue
             sums = np.cumsum(np.concatenate(([U(0)], tx.mix(doc.astype(U)))))
             _, one = np.unique(np.stack([sums[at + size] - sums[at], size.astype(U)]), axis=1, return_index=True)
-            found = []
+            rows = []
             for a, n in zip(at[one].tolist(), size[one].tolist()):
-                if n <= 2 * BLOCK:
-                    found.append(doc[a : a + n])
-                else:  # every two blocks of members as a group of their own
-                    blocks = [doc[x : min(x + BLOCK, a + n)] for x in range(a, a + n, BLOCK)]
-                    found += [np.concatenate(p) for p in itertools.combinations(blocks, 2)]
-            key = [xxhash.xxh3_64_intdigest(f.tobytes()) >> 1 for f in found]
-            members = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), members], ["key", "members"])
+                key = xxhash.xxh3_64_intdigest(doc[a : a + n].tobytes()) >> 1
+                rows += [(key, n, c, doc[a], doc[x : min(x + BLOCK, a + n)]) for c, x in enumerate(range(a + 1, a + n, BLOCK))]
+            *flat, members = zip(*rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, members)]), pa.int32()), pa.array(np.concatenate(members)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat), lists], ["key", "size", "chunk", "lead", "members"])
 
     packed = docs.mapInArrow(sign, "part long, sigs binary, steps binary")
-    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, members array<long>")
-    return met.groupBy("key", F.size("members").alias("size")).agg(F.first("members").alias("members"))
+    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, size long, chunk long, lead long, members array<long>")
+    return met.groupBy("key", "size", "chunk").agg(F.first("lead").alias("lead"), F.first("members").alias("members"))
 
 
-def among(scratch: Scratch, docs: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (doc_id), without a shuffle of all texts.
+def among(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id, distinct), without a shuffle of all texts.
 
-    A bitmap of 2**bits hashed ids, at most 2**(bits - 6) rows whatever the input, is
+    A bitmap of hashed ids, eight bits or more for each up to 2**MOST bits (2**(MOST - 6) rows), is
     broadcast first; the few rows that it lets through are joined exactly.
     """
+    bits = min(max((8 * ids.count()).bit_length(), 16), MOST)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     bitmap = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     bitmap = scratch.save(bitmap, "bitmap")
     near = docs.withColumn("slot", slot("doc_id")).withColumn("word", F.shiftright("slot", 6))
     near = near.join(F.broadcast(bitmap), "word").where("(bits & shiftleft(1L, cast(slot & 63 as int))) <> 0")
-    return near.select(*docs.columns).join(ids, "doc_id")
+    out = scratch.save(near.select(*docs.columns).join(ids, "doc_id"), "texts")
+    scratch.drop(bitmap)
+    return out
 
 
 def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, words: int, schemes: Schemes) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts."""
+    """The pairs (a, b) that link, by their whole texts.
+
+    A document's partners are dealt out by BLOCK, and its text travels once for each such part.
+    """
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
-    texts = scratch.save(among(scratch, docs, ids), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    texts = among(scratch, docs, ids)
+    much = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    dealt = scratch.save(pairs.join(much, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), "b"), "dealt")
+    text = lambda c: texts.select(F.col("doc_id").alias(c), "text")
+    first = dealt.select("a", "part").distinct().join(text("a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    both = first.unionByName(dealt.join(text("b"), "b")).repartition("a", "part").sortWithinPartitions("a", "part", "b")  # the null b first
 
     def run(batches):
-        for b in tx.slices(batches, "x"):
-            xs, ys = (tx.shingle_sets(*tx.utf8(b.column(c)), words) for c in "xy")
-            hit = pa.array([schemes.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(xs, ys)], pa.bool_())
-            yield b.select(["a", "b"]).filter(hit)
+        of, own = None, []
+        for b in tx.slices(batches, "text"):
+            hit = []
+            for a, part, other, h in zip(*(b.column(c).to_pylist() for c in ("a", "part", "b")), tx.shingle_sets(*tx.utf8(b.column("text")), words)):
+                if (a, part) != of:
+                    of, own = (a, part), []
+                if other is None:
+                    own.append(h)
+                hit.append(other is not None and any(schemes.linked(len(np.intersect1d(x, h, assume_unique=True)), len(x), len(h)) for x in own))
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     links = scratch.save(both.mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(ids, texts)
+    scratch.drop(ids, texts, dealt)
     return links
 
 
@@ -212,21 +227,21 @@ def components(spark: SparkSession, docs: DataFrame, words: int = 5, num: int =
     met = scratch.save(groups(single, words, schemes, parts), "groups")
     about = sizes.where("n > 0").select(F.col("doc_id").alias("member"), "n", *_SKETCH).dropDuplicates(["member"])
 
-    first = met.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
-    first = _possible(first.join(_as(about, "a"), "a").join(_as(about, "b"), "b"), schemes)
-    links = verify(scratch, single, scratch.save(first, "first"), words, schemes)
-    near = scratch.save(connected_components(scratch, links), "near")
-
-    member = met.select("key", F.size("members").alias("size"), F.col("members")[0].alias("lead"), F.explode("members").alias("member"))
-    member = member.join(near, member.member == near.node, "left").withColumn("label", F.coalesce("component", "member")).drop("node", "component")
-    member = scratch.save(member, "members")
-    open_ = member.groupBy("key", "size").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "size")
-    rest = member.join(open_, ["key", "size"]).where("member <> lead").join(about, "member")
-    rest = rest.repartition("key", "size").sortWithinPartitions("key", "size", "member")
-    later = scratch.save(rest.mapInArrow(_across(schemes), "a long, b long").distinct(), "later")
+    first = met.select(F.col("lead").alias("a"), F.explode("members").alias("b")).distinct()
+    first = scratch.save(_possible(first.join(_as(about, "a"), "a").join(_as(about, "b"), "b"), schemes), "first")
+    links = verify(scratch, single, first, words, schemes)
+    near = connected_components(scratch, links)
+
+    listed = F.when(F.col("chunk") == 0, F.concat(F.array("lead"), "members")).otherwise(F.col("members"))
+    member = met.select("key", "size", F.explode(listed).alias("member")).join(near, F.col("member") == F.col("node"), "left")
+    member = scratch.save(member.select("key", "size", "member", F.coalesce("component", "member").alias("label")), "members")
+    later = scratch.save(_blocks(member, about).mapInArrow(_across(schemes), "a long, b long").distinct(), "later")
     if later.limit(1).count():
-        links = links.union(verify(scratch, single, later, words, schemes))
-        near = scratch.save(connected_components(scratch, links), "near")
+        more = verify(scratch, single, later, words, schemes)
+        scratch.drop(near)
+        near = connected_components(scratch, links.union(more))
+        scratch.drop(more)
+    scratch.drop(copies, met, first, links, member, later)
 
     out = sizes.select("doc_id", "n", "print").join(classes, ["print", "n"], "left").join(near, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
@@ -246,22 +261,46 @@ def _possible(pairs: DataFrame, schemes: Schemes) -> DataFrame:
     return pairs.where(fits).select("a", "b")
 
 
+def _blocks(member: DataFrame, about: DataFrame) -> DataFrame:
+    """Rows of each two blocks of members between which a link could still join components, sorted by blocks.
+
+    Of a group with several components, the members of its largest one and all others are dealt
+    out into blocks of about BLOCK. A block of others meets itself, each other such block and each block of
+    the largest component: (n / BLOCK) * (others / BLOCK + 1) pairs of blocks, in proportion to n where one component holds nearly all.
+    """
+    group = ["key", "size"]
+    per = member.groupBy(*group, "label").agg(F.count("*").alias("n"))
+    open_ = per.groupBy(*group).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = open_.select(*group, "main", F.ceil((F.col("all") - F.col("m")) / BLOCK).alias("others"), F.ceil(F.col("m") / BLOCK).alias("mains"))
+    rest = member.join(open_, group).join(about, "member")
+    inside = F.col("label") == F.col("main")
+    rest = rest.withColumn("block", F.when(inside, F.col("others") + F.pmod(F.xxhash64("member"), "mains")).otherwise(F.pmod(F.xxhash64("member"), "others")))
+    last = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rest = rest.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    rest = rest.withColumn("i", F.least("block", "partner")).withColumn("j", F.greatest("block", "partner"))
+    of = [*group, "i", "j"]
+    return rest.select(*of, "block", "member", "label", "n", *_SKETCH).repartition(*of).sortWithinPartitions(*of, "member")
+
+
 def _across(schemes: Schemes):
-    """Of each group the pairs of members under different labels that can link by sizes and sketches."""
+    """Of each two blocks the pairs of members under different labels that can link by sizes and sketches."""
 
     def run(batches):
-        for g in runs(batches, ["key", "size"]):
-            doc, label, n = (g.column(c).to_numpy() for c in ("member", "label", "n"))
+        for g in runs(batches, ["key", "size", "i", "j"]):
+            doc, label, n, block = (g.column(c).to_numpy() for c in ("member", "label", "n", "block"))
             bits = np.stack([g.column(s).to_numpy() for s in _SKETCH], 1).astype(U)
-            for s in range(0, len(doc), 256):
-                rows = slice(s, s + 256)
-                total = n[rows, None] + n[None, s:]
-                fits = (label[rows, None] != label[None, s:]) & (np.minimum(n[rows, None], n[None, s:]) * schemes.den >= np.maximum(n[rows, None], n[None, s:]) * schemes.num)
-                x, y = np.nonzero(fits & (np.arange(s, min(s + 256, len(doc)))[:, None] < np.arange(s, len(doc))[None]))
-                differ = np.bitwise_count(bits[s + x] ^ bits[s + y]).sum(1)
-                keep = differ * (schemes.den + schemes.num) <= total[x, y] * (schemes.den - schemes.num)
+            i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            for s in range(0, len(left), 256):
+                rows = left[s : s + 256, None]
+                fits = (label[rows] != label[right]) & (np.minimum(n[rows], n[right]) * schemes.den >= np.maximum(n[rows], n[right]) * schemes.num)
+                x, y = np.nonzero(fits & (rows < right) if i == j else fits)
+                x, y = left[s + x], right[y]
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1)
+                keep = differ * (schemes.den + schemes.num) <= (n[x] + n[y]) * (schemes.den - schemes.num)
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[s + x[keep]]), pa.array(doc[s + y[keep]])], ["a", "b"])
+                    a, b = doc[x[keep]], doc[y[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 

@@ -12,10 +12,12 @@ _UNSET: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (as in tests) one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and the master is local (as in tests) one of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _UNSET.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="brindle-"))
 
 
@@ -63,7 +65,9 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         after = scratch.save(small.union(low.select("a", "m")).distinct(), "stars")
         scratch.drop(e)
         e = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
+    out = scratch.save(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct()), "components")
+    scratch.drop(e)
+    return out
 
 
 def _is_stars(e: DataFrame) -> bool:

@@ -1,5 +1,6 @@
 """Each operator against brute force, the exact library or held-out labels, and on the edge cases."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from brindle.llm import langid, licenses, media, neardup, packing, pieces, setjoin, suffixes, tables, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [None, "", " ", "\n\t", "a", "12 ,.", "中文字 😀", "x" * 70_000, "word " * 30_000, "a  b   c\n \n d", " lead", "trail ", "\x00 \x85　z", "▁x ▁▁ y"]
+ODD = [None, "", " ", "\n\t", "a", "12 ,.", "中文字 😀", "x" * 70_000, "word " * 30_000, "a  b   c\n \n d", " lead", "trail ", "\x00 \x85　z", "▁x ▁▁ y", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|> <|endoftext |>"]
 
 
 @pytest.fixture(scope="module")
@@ -55,13 +56,16 @@ def test_language(spark, small, odd, none):
     assert langid.keep_identified(spark, none).count() == 0
 
 
+def packed(spark, df, **more):
+    return packing.pack(spark, df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, packing.special_tokens(P.path("byte_bpe_50k.json")), **more)
+
+
 def test_packing(spark, small, odd, none):
-    for df in (small, odd):
-        got = packing.pack(spark, df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).toPandas().sort_values(["sequence_id", "offset"])
+    for df in (small, odd, clash(odd)):
+        got = packed(spark, df).toPandas().sort_values(["sequence_id", "offset"])
         assert (got.groupby("sequence_id").length.sum() <= 1024).all()
         assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
         tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-        tok.encode_special_tokens = True
         want = defaultdict(list)
         for r in df.collect():
             ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -73,37 +77,60 @@ def test_packing(spark, small, odd, none):
         for r in got.itertuples():
             have[None if r.doc_id != r.doc_id else int(r.doc_id)].append((r.piece, r.start, r.length, r.ids_crc32))
         assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
-    assert packing.pack(spark, none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
-
-
-def test_sweep_is_best_fit_decreasing():
-    import bisect
-
-    rng = random.Random(1)
-    for _ in range(100):
-        cap = rng.choice([10, 50, 100])
-        counts = {k: rng.randint(1, 30) for k in rng.sample(range(1, cap + 1), rng.randint(1, min(10, cap)))}
-        bins, ranks = defaultdict(list), defaultdict(list)
-        for length, rank, n, first, per, offset in packing.sweep(counts, cap):
-            ranks[length] += range(rank, rank + n)
-            for j in range(n):
-                bins[first + j // per].append((offset + j % per * length, length))
-        assert all(sorted(ranks[k]) == list(range(n)) for k, n in counts.items())
-        for b in bins.values():
-            at = 0
-            for o, n in sorted(b):
-                assert o == at
-                at += n
-            assert at <= cap
-        gaps, opened = [], 0
-        for k in sorted(counts, reverse=True):
-            for _ in range(counts[k]):
-                i = bisect.bisect_left(gaps, k)
-                room = gaps.pop(i) if i < len(gaps) else cap
-                opened += i == len(gaps) and room == cap
-                if room > k:
-                    bisect.insort(gaps, room - k)
-        assert len(bins) == opened
+        assert got.sequence_id.nunique() <= 1.01 * best_fit_decreasing(got.length.tolist(), 1024) + 1
+    assert packed(spark, none).count() == 0
+
+
+def best_fit_decreasing(lengths, cap):
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, n)
+        opened += i == len(gaps)
+        room = gaps.pop(i) if i < len(gaps) else cap
+        if room > n:
+            bisect.insort(gaps, room - n)
+    return opened
+
+
+@pytest.mark.parametrize("cap", [7, 40, 100])
+def test_packing_fills_sequences(spark, cap):
+    """One-byte words of many and of equal numbers: as few sequences as best fit decreasing, but for one in a hundred."""
+    rng = random.Random(cap)
+    for sizes in ([rng.randint(0, cap + 5) for _ in range(300)], [cap // 2 - 1] * 200 + [1] * 100, [0] * 300):
+        df = spark.createDataFrame([(k, " a" * n) for k, n in enumerate(sizes)], "doc_id long, text string").repartition(5)
+        got = packed(spark, df, capacity=cap).toPandas().sort_values(["sequence_id", "offset"])
+        assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= cap
+        assert got.length.sum() == sum(n + 1 for n in sizes)
+        assert got.sequence_id.nunique() <= 1.01 * best_fit_decreasing(got.length.tolist(), cap) + 1
+
+
+def test_sweeps_over_ranges_are_one_sweep():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        size, gap = np.sort(rng.integers(1, 30, n)), rng.random(n) < 0.5
+        order = np.lexsort((gap, size))
+        size, gap = size[order], gap[order]
+        stack, want = [], set()
+        for k in range(n):
+            if not gap[k]:
+                stack.append(k)
+            elif stack:
+                want.add((stack.pop(), k))
+        assert set(zip(*map(np.ndarray.tolist, packing.swept(size, gap)))) == want
+        cuts, got, left, counts = sorted({0, n, *rng.integers(0, n, 4).tolist()}), set(), {}, {}
+        for p, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            of, by = packing.swept(size[a:z], gap[a:z])
+            got |= set(zip((of + a).tolist(), (by + a).tolist()))
+            rest = [k for k in range(a, z) if k - a not in {*of.tolist(), *by.tolist()}]
+            left[p] = ([k for k in rest if not gap[k]], [k for k in rest if gap[k]])
+            counts[p] = tuple(map(len, left[p]))
+        keys = {False: {}, True: {}}
+        for p, kind, low, high, key in packing.meetings(counts):
+            for r in range(low, high):
+                keys[kind][key + (r - low if kind else low - r)] = left[p][kind][r]
+        assert keys[False].keys() == keys[True].keys()
+        assert got | {(keys[False][k], keys[True][k]) for k in keys[True]} == want
 
 
 def test_media(spark, odd, none):
@@ -309,6 +336,22 @@ def test_set_join(spark, odd, none, words, num):
         assert kept.columns == clash(odd).columns and setjoin.keep_one(spark, none).count() == 0
 
 
+def test_set_join_of_groups_over_a_block(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 3)
+    rng = random.Random(7)
+    rows, k = [], 0
+    for size in (40, 25, 25, 1, 1):  # clusters that share half of their words without linking
+        base = [f"s{j}" for j in range(60)] + [f"c{rng.randint(0, 999)}" for _ in range(60)]
+        for _ in range(size):
+            rows.append((k, " ".join(x if rng.random() > 0.04 else f"w{rng.randint(0, 99)}" for x in base)))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: {(x,) for x in t.split()} for i, t in rows}
+    for num in (45, 80):
+        got = {r.doc_id: r.component_id for r in setjoin.components(spark, df, 1, num).collect()}
+        assert got == brute_components(sets, num, 100)
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(3)
     for num in (80, 85):
