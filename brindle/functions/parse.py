@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_OLDEST = 700_000  # days back; a date before the year 1 is none
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -37,8 +38,9 @@ def relative_date(t: Column, as_of: Column) -> Column:
     low = F.lower(F.trim(t))
     n = F.regexp_extract(low, r"(\d+)\s*(day|week|month|year)s?\s*ago", 1)
     unit = F.regexp_extract(low, r"(\d+)\s*(day|week|month|year)s?\s*ago", 2)
-    days = F.when(low == "today", 0).when(low == "yesterday", 1).when(n != "", n.try_cast("int") * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(365))
-    return F.date_sub(as_of, days)
+    scale = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(365)
+    days = F.when(low == "today", 0).when(low == "yesterday", 1).when(n != "", F.try_multiply(n.try_cast("int"), scale))
+    return F.when(days <= _OLDEST, F.date_sub(as_of, days))
 
 
 def posted_date(t: Column) -> Column:
@@ -77,11 +79,23 @@ def slug(t: Column) -> Column:
 
 def review_url(u: Column) -> Column:
     """The url with none but its pid and lid parameters."""
-    q = F.concat_ws("&", *(F.when(F.parse_url(u, F.lit("QUERY"), F.lit(k)).isNotNull(), F.concat(F.lit(f"{k}="), F.parse_url(u, F.lit("QUERY"), F.lit(k)))) for k in ("pid", "lid")))
+    part = lambda k: F.try_parse_url(u, F.lit("QUERY"), F.lit(k))
+    q = F.concat_ws("&", *(F.when(part(k).isNotNull(), F.concat(F.lit(f"{k}="), part(k))) for k in ("pid", "lid")))
     base = F.regexp_extract(u, r"^([^?#]+)", 1)
     return F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q))
 
 
+# Brands by which product names start
+BRANDS = ["Samsung", "Xiaomi", "Redmi", "POCO", "Realme", "Vivo", "OPPO", "Motorola", "OnePlus", "iQOO", "Nothing", "Lava", "Tecno", "Infinix", "itel", "Nokia", "Google", "Apple", "ASUS", "Sony", "Honor"]
+
+
+def brand_prefix(t: Column, brands: list[str] = BRANDS) -> Column:
+    """The first brand that the name starts with, whatever the case, else its first word; empty for an empty name."""
+    t = F.trim(F.coalesce(t, F.lit("")))
+    known = F.coalesce(*(F.when(F.lower(t).startswith(b.lower()), F.lit(b)) for b in brands))
+    return F.coalesce(known, F.split(t, r"\s+")[0])
+
+
 def uuid5_url(seed: Column) -> Column:
     """The version-5 UUID of seed in the URL namespace."""
     space = F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8"))

@@ -101,5 +101,40 @@ def segment(band: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.coalesce(band, F.lit(""))], band, F.lit(""))
 
 
+# What can be done about an aspect
+ACTIONS = {
+    "battery": "hardware_or_software_optimization", "camera": "software_tuning_or_next_gen_camera", "display": "hardware_display_or_brightness_planning", "performance": "software_optimization", "heating": "thermal_optimization",
+    "charging": "charger_accessory_or_charging_stack", "software": "software_fixable", "ui": "software_fixable", "connectivity": "modem_network_stack_or_operator_context", "audio": "hardware_or_software_audio_tuning",
+    "design": "next_gen_industrial_design", "value": "pricing_or_marketing_position", "after_sales": "cx_process",
+}
+
+
+def theme_type(sentiment: Column) -> Column:
+    return F.when(sentiment == "negative", "complaint").when(sentiment == "positive", "delight").otherwise("watchlist")
+
+
+def theme_name(aspect: Column, sentiment: Column) -> Column:
+    return F.concat(F.initcap(F.lower(F.replace(aspect, F.lit("_"), F.lit(" ")))), F.lit(" "), theme_type(sentiment), F.lit(" theme"))
+
+
+def actionability(aspect: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, aspect), F.lit("analyst_review_required"))
+
+
+def theme_text(aspect: Column, sentiment: Column, mentions: Column, severity_: Column) -> Column:
+    n = mentions.cast("string")
+    bad = F.concat(aspect, F.lit(" is appearing as a complaint theme in "), n, F.lit(" mention(s). Severity score is "), severity_.cast("string"), F.lit("; prioritize if this grows with more data."))
+    good = F.concat(aspect, F.lit(" is appearing as a delight driver in "), n, F.lit(" mention(s). This may be useful for product positioning or marketing evidence."))
+    return F.when(sentiment == "negative", bad).when(sentiment == "positive", good).otherwise(F.concat(aspect, F.lit(" has mixed/neutral signals. Keep it on watchlist until more evidence is available.")))
+
+
+def movement_text(aspect: Column, direction_: Column, movement: Column, current: Column, previous: Column, label: Column) -> Column:
+    end = F.concat(F.lit("Direction is "), direction_, F.lit("; confidence is "), label, F.lit("."))
+    alone = F.concat(aspect, F.lit(" has "), current.cast("string"), F.lit(" current-period mention(s) but no previous-period baseline. "), end)
+    moved = F.concat(aspect, F.lit(" moved by "), movement.cast("string"), F.lit(" points versus the previous period ("), previous.cast("string"), F.lit(" previous mention(s), "), current.cast("string"), F.lit(" current mention(s)). "), end)
+    return F.when(movement.isNull(), alone).otherwise(moved)
+
+
 def severity(count: Column, intensity: Column, confidence: Column, negative: Column) -> Column:
     return rounded(count * intensity * confidence * F.when(negative, 1.25).otherwise(1.0), 3)

@@ -143,6 +143,66 @@ def truncate(t: Column, n: int) -> Column:
     return F.when(F.char_length(t) <= n, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, n - 3)), F.lit("...")))
 
 
+def json_list(t: Column, element: str = "string") -> Column:
+    """A JSON array, empty where the text is null, bad or no array."""
+    return F.coalesce(F.from_json(t, f"array<{element}>"), F.array().cast(f"array<{element}>"))
+
+
+def without_scores(t: Column) -> Column:
+    """Text without '12 points' and 'by 3.5'."""
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)\b\d+(?:\.\d+)?\s*points?\b", ""), r"(?i)\bby\s+\d+(?:\.\d+)?\b", "")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def joined_short(values: Column) -> Column:
+    """'none', 'a', 'a and b' or 'a, b, and 3 more'; blank values don't count."""
+    v = F.filter(values, lambda x: F.coalesce(x, F.lit("")) != "")
+    n = F.size(v)
+    more = F.concat(F.array_join(F.slice(v, 1, 2), ", "), F.lit(", and "), (n - 2).cast("string"), F.lit(" more"))
+    return F.when(n <= 0, "none").when(n <= 2, F.array_join(v, " and ")).otherwise(more)
+
+
+def bounded(t: Column, default: float, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number between low and high out of a text; the default where it is none."""
+    x = t.cast("string").try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
+def optional(t: Column) -> Column:
+    return F.nullif(F.trim(t.cast("string")), F.lit(""))
+
+
+def one_of(t: Column, words: list[str]) -> Column:
+    """The word of the list that the text is, whatever the case; NULL if none."""
+    low = F.lower(F.trim(t))
+    return F.when(low.isin(*words), low)
+
+
+def signals_of(product: Column, delivery: Column, service: Column, rest: Column) -> Column:
+    """Signal types out of three booleans; the rest where none holds."""
+    found = F.array_compact(F.array(F.when(product, "product"), F.when(delivery, "delivery"), F.when(service, "service")))
+    return F.when(F.size(found) > 0, found).otherwise(rest)
+
+
+def yes_no(t: Column) -> Column:
+    return F.when(F.lower(t.cast("string")).isin("1", "true", "yes"), "Yes").otherwise("No")
+
+
+def shown(t: Column) -> Column:
+    """The value as a text, empty for NULL."""
+    return F.coalesce(t.cast("string"), F.lit(""))
+
+
+def local_stamp(utc: Column, zone: str = "+05:30", name: str = "IST") -> Column:
+    return F.concat(F.date_format(F.from_utc_timestamp(utc, zone), "yyyy-MM-dd HH:mm"), F.lit(f" {name}"))
+
+
+def distinct_texts(values: Column) -> Column:
+    """Each text once, whatever the case, the first as it is written."""
+    low = F.transform(values, lambda x: F.lower(x))
+    return F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
 def json_object(t: Column, schema: str) -> Column:
     """The first JSON object inside noisy text, NULL if there is none that parses."""
     return F.from_json(F.regexp_extract(t, r"(?s)(\{.*\})", 1), schema)
