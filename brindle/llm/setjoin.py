@@ -269,10 +269,12 @@ def _blocks(member: DataFrame, about: DataFrame) -> DataFrame:
     the largest component: (n / BLOCK) * (others / BLOCK + 1) pairs of blocks, in proportion to n where one component holds nearly all.
     """
     group = ["key", "size"]
+    parts = F.ceil(F.col("size") / BLOCK)  # a group's rows are joined in so many parts
     per = member.groupBy(*group, "label").agg(F.count("*").alias("n"))
     open_ = per.groupBy(*group).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     open_ = open_.select(*group, "main", F.ceil((F.col("all") - F.col("m")) / BLOCK).alias("others"), F.ceil(F.col("m") / BLOCK).alias("mains"))
-    rest = member.join(open_, group).join(about, "member")
+    open_ = open_.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rest = member.withColumn("salt", F.pmod(F.xxhash64("member"), parts)).join(open_, [*group, "salt"]).join(about, "member")
     inside = F.col("label") == F.col("main")
     rest = rest.withColumn("block", F.when(inside, F.col("others") + F.pmod(F.xxhash64("member"), "mains")).otherwise(F.pmod(F.xxhash64("member"), "others")))
     last = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains"))
