@@ -7,8 +7,9 @@ gap that holds it, and of the pieces that ask for one gap the rank in the order
 task sweeps its own range; pieces and gaps that it leaves over are counted, one row a task, and the counts
 alone say which rank of which range meets which (pieces wait on a stack, gaps take from its top), so that
 matches across ranges are one equi join. Then gaps are updated and the next superstep starts. A gap that holds the largest
-waiting piece several times over is offered as that many slots. Where a sweep matches nothing, new
-sequences are opened, as many as the waiting tokens fill at least, never more. Pieces as
+waiting piece several times over is offered as that many slots. Where no gap holds the smallest waiting piece, or
+a sweep matches nothing, new sequences are opened, as many as the waiting tokens fill at least; once slots for all that waits would take
+no more than a share SPARE of all sequences beyond that, so many are opened and the next sweep is the last. Pieces as
 long as a sequence are sequences of their own from the start.
 
 The same vocabulary is given as a tokenizer file and as byte-pair ranks; the ranks serve the
@@ -44,6 +45,7 @@ from brindle.llm import text as tx
 from brindle.llm.tables import Scratch
 
 CACHED = 150_000
+SPARE = 0.001
 _AFTER_SPACE = re.compile(r"\s ")
 
 
@@ -225,18 +227,20 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, special:
     cut = scratch.save(cut.withColumn("n", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") == capacity).select(*names, (-1 - F.col("n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     waiting = cut.where(F.col("length") < capacity)
+    whole = cut.agg(F.count(F.when(F.col("length") == capacity, 1))).first()[0]
     gaps = spark.createDataFrame([], "sequence long, room long")
     placed, opened, matched = None, 0, 0
     while True:
-        facts = waiting.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length")).first()
-        if not facts[0]:
+        n, total, least, most = waiting.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length")).first()
+        if not n:
             break
-        gaps = gaps.where(F.col("room") >= facts[2])
-        if not matched:
-            more = -(-facts[1] // capacity)
+        gaps = gaps.where(F.col("room") >= least)
+        if not matched or gaps.isEmpty():
+            more, slots = -(-total // capacity), -(-n // (capacity // most))
+            more = slots if slots - more <= SPARE * (whole + opened) else more
             gaps = gaps.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("room")))
             opened += more
-        now, waiting, gaps, matched = _superstep(scratch, waiting, gaps, facts[3], names)
+        now, waiting, gaps, matched = _superstep(scratch, waiting, gaps, most, names)
         placed = now if placed is None else placed.unionByName(now)
     if placed is None:
         return full
