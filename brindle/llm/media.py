@@ -8,11 +8,12 @@ coefficients of one 8x8 block. JPEG rounds pixels but codes quantised coefficien
 so the coefficient, 8 bits of it, is the format's unit here. Byte b is coefficient 256 + b,
 which makes all codes ten bits long, and a restart marker after each block keeps DC values
 independent; both sides are then plain numpy. Frames of any other table layout go through the
-general decoder.
+general decoder, which looks codes up sixteen bits at a time; frames without Huffman tables have the standard ones.
 
-Nulls and edges: null text counts as empty and gives a payload of 64 zero bytes; a null or
-unreadable file has no clips; frames that can't be decoded are skipped and counted; rows
-repeat as often as the input has them; other columns play no part.
+Nulls and edges: null text counts as empty and gives a payload of 64 zero bytes; a null
+file and one without frames have no clips; frames that can't be decoded, whatever is wrong with them, are skipped and counted in
+`failed`, and a file that has no other frames is one row without clip; rows
+repeat as often as the input has them; ids of any type; other columns play no part. A file is held whole in memory.
 """
 
 from __future__ import annotations
@@ -50,6 +51,44 @@ def idct() -> np.ndarray:
     return np.kron(c, c).astype(np.float32)
 
 
+# Fixed values of the format: how many codes of each length, and the symbols that come first; all others follow in ascending order
+_DC_BRIGHT = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
+_DC_COLOUR = [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]
+_AC_BRIGHT = [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]
+_AC_COLOUR = [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]
+_BRIGHT_FIRST = [
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32,
+    0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+]
+_COLOUR_FIRST = [
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14,
+    0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+]
+
+
+@lru_cache(maxsize=1)
+def standard_tables() -> dict[int, tuple[bytes, bytes]]:
+    """(counts by length, symbols) of the tables that a frame without its own has, by class and number."""
+    every = sorted({0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))})
+    ac = lambda first: bytes([*first, *(x for x in every if x not in first)])
+    dc = bytes(range(12))
+    return {0x00: (bytes(_DC_BRIGHT), dc), 0x01: (bytes(_DC_COLOUR), dc), 0x10: (bytes(_AC_BRIGHT), ac(_BRIGHT_FIRST)), 0x11: (bytes(_AC_COLOUR), ac(_COLOUR_FIRST))}
+
+
+@lru_cache(maxsize=64)
+def _lookup(counts: bytes, symbols: bytes) -> list[int]:
+    """For every sixteen bits: length << 8 | symbol of the code that they begin with, 0 if none."""
+    out, code, k = np.zeros(1 << 16, np.int32), 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            if code >> length or k >= len(symbols):
+                raise ValueError("codes overflow")
+            out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out.tolist()
+
+
 # --- writing -----------------------------------------------------------------------------
 
 
@@ -126,14 +165,15 @@ def store(data: bytes) -> tuple[bytes, bytes]:
 # --- reading -----------------------------------------------------------------------------
 
 
-def riff(data: bytes, start: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
-    """(tag, first byte, end) of every chunk, lists by their kind and then what is in them."""
+def riff(data: bytes, start: int, stop: int, depth: int = 8) -> Iterator[tuple[bytes, int, int]]:
+    """(tag, first byte, end) of every chunk, lists by their kind and then what is in them, `depth` levels down."""
     while start + 8 <= stop:
         tag, size = data[start : start + 4], struct.unpack_from("<I", data, start + 4)[0]
         body, end = start + 8, min(start + 8 + size, stop)
         if tag in (b"RIFF", b"LIST"):
             yield data[body : body + 4], body, end
-            yield from riff(data, body + 4, end)
+            if depth:
+                yield from riff(data, body + 4, end, depth - 1)
         else:
             yield tag, body, end
         start = body + size + size % 2
@@ -168,8 +208,9 @@ def open_avi(data: bytes) -> dict:
 
 def decode_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     """(quantised luma coefficients (blocks, 64) in coding order, luma quantisation in coding order, (blocks wide, tall))."""
-    quant, huff, restart, at = {}, {}, 0, 2
+    quant, huff, restart, at = {}, dict(standard_tables()), 0, 2
     frame: list[tuple[int, int, int, int]] = []
+    tables = None
     while at + 4 <= len(data):
         mark, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
@@ -196,7 +237,12 @@ def decode_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
         elif mark == 0xDA:
             tables = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])}
             break
-    scan = data[at : data.rfind(b"\xff\xd9")]
+    if not frame or tables is None or not all(f[0] in tables and f[1] and f[2] for f in frame) or not wide or not tall:
+        raise ValueError("no frame, no scan or no size")
+    end = data.rfind(b"\xff\xd9")
+    scan = data[at : end if end >= at else len(data)]
+    if -(-wide // 8) * -(-tall // 8) > 4 * len(scan) + 4:  # a block takes two bits at least
+        raise ValueError("more blocks than the scan can hold")
     one = (bytes([1] + [0] * 15), b"\x09")
     if len(frame) == 1 and restart == 1 and huff.get(0) == one and huff.get(0x10) == one:
         return _even(scan), quant[frame[0][3]], (-(-wide // 8), -(-tall // 8))
@@ -219,16 +265,8 @@ def _even(scan: bytes) -> np.ndarray:
 
 
 def _general(scan: bytes, frame, tables, huff, restart: int, wide: int, tall: int) -> np.ndarray:
-    """Luma coefficients of any baseline scan, decoded bit by bit."""
-    codes = {}
-    for key, (counts, symbols) in huff.items():
-        code, k, book = 0, 0, {}
-        for length, n in enumerate(counts, 1):
-            for _ in range(n):
-                book[length, code] = symbols[k]
-                code, k = code + 1, k + 1
-            code <<= 1
-        codes[key] = book
+    """Luma coefficients of any baseline scan."""
+    books = {key: _lookup(*t) for key, t in huff.items() if key in {k for dc, ac in tables.values() for k in (dc, 16 + ac)}}
     parts, a, k = [], 0, 0
     while (k := scan.find(b"\xff", k)) >= 0 and k + 1 < len(scan):
         if 0xD0 <= scan[k + 1] <= 0xD7:
@@ -243,26 +281,27 @@ def _general(scan: bytes, frame, tables, huff, restart: int, wide: int, tall: in
     out = np.zeros((down * frame[0][2], across * frame[0][1], 64), np.int32)
     step = restart or across * down
     for p, part in enumerate(parts):
-        bits = np.unpackbits(np.frombuffer(part.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
-        at, last = 0, [0] * len(frame)
+        raw = np.frombuffer(part.replace(b"\xff\x00", b"\xff") + b"\0\0\0\0", np.uint8).astype(np.int64)
+        window = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]).tolist()  # 24 bits from each byte on
+        at, last, stop = 0, [0] * len(frame), 8 * (len(raw) - 4)
 
         def symbol(book):
             nonlocal at
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | bits[at]
-                at += 1
-                if (length, code) in book:
-                    return book[length, code]
-            raise ValueError("no such code")
+            found = book[window[at >> 3] >> (8 - (at & 7)) & 0xFFFF]
+            at += found >> 8
+            if not found or at > stop:
+                raise ValueError("no such code")
+            return found & 255
 
         def number(size):
             nonlocal at
-            value = 0
-            for bit in bits[at : at + size]:
-                value = value << 1 | bit
+            if not size:
+                return 0
+            value = window[at >> 3] >> (24 - (at & 7) - size) & ((1 << size) - 1)
             at += size
-            return value if not size or value >> size - 1 else value - (1 << size) + 1
+            if size > 16 or at > stop:
+                raise ValueError("the scan ends in a number")
+            return value if value >> size - 1 else value - (1 << size) + 1
 
         for mcu in range(p * step, min((p + 1) * step, across * down)):
             for c, (ident, ch, cv, _) in enumerate(frame):
@@ -270,11 +309,11 @@ def _general(scan: bytes, frame, tables, huff, restart: int, wide: int, tall: in
                 for y in range(cv):
                     for x in range(ch):
                         block = np.zeros(64, np.int32)
-                        last[c] += number(symbol(codes[dc]))
+                        last[c] += number(symbol(books[dc]))
                         block[0] = last[c]
                         k = 1
                         while k < 64:
-                            s = symbol(codes[16 + ac])
+                            s = symbol(books[16 + ac])
                             if not s & 15:
                                 if s != 0xF0:
                                     break
@@ -317,7 +356,7 @@ def read(data: bytes) -> dict:
         try:
             got.append(decode_frame(f))
             kept.append(k)
-        except (ValueError, KeyError, IndexError, struct.error, UnboundLocalError):
+        except (ValueError, LookupError, ArithmeticError, TypeError, struct.error):  # whatever the bytes may say
             failed += 1
     hist = np.zeros((len(got), BINS), np.int64)
     for k, (c, q, _) in enumerate(got):
@@ -332,7 +371,10 @@ def payload_of(got: dict) -> bytes:
 
 
 def clips(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Timed clip rows (key, clip, first_frame, last_frame, start_s, end_s, mean_luma) of AVI files in a binary column."""
+    """Timed clip rows (key, clip, first_frame, last_frame, start_s, end_s, mean_luma, failed) of AVI files in a binary column.
+
+    failed: how many frames of the file can't be decoded; where none can, clip is null.
+    """
 
     def run(batches):
         for b in batches:
@@ -342,14 +384,16 @@ def clips(df: DataFrame, key: str = "path", content: str = "content") -> DataFra
                 for n, (x, y) in enumerate(got["shots"]):
                     h = got["histograms"][x : y + 1].sum(0)
                     a, z = got["kept"][x], got["kept"][y]
-                    rows.append((k, n, a, z, a / got["fps"], (z + 1) / got["fps"], float((h * (16 * np.arange(BINS) + 7.5)).sum() / h.sum())))
-            cols = zip(*rows) if rows else [[]] * 7
-            kinds = (b.schema.field("k").type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "clip", "first_frame", "last_frame", "start_s", "end_s", "mean_luma"])
+                    rows.append((k, n, a, z, a / got["fps"], (z + 1) / got["fps"], float((h * (16 * np.arange(BINS) + 7.5)).sum() / h.sum()), got["failed"]))
+                if got["failed"] and not got["shots"]:
+                    rows.append((k, *[None] * 6, got["failed"]))
+            cols = zip(*rows) if rows else [[]] * 8
+            kinds = (b.schema.field("k").type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "clip", "first_frame", "last_frame", "start_s", "end_s", "mean_luma", "failed"])
 
     rows = df.select(F.col(key).alias("k"), F.col(content).alias("c"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, clip int, first_frame long, last_frame long, start_s double, end_s double, mean_luma double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, clip int, first_frame long, last_frame long, start_s double, end_s double, mean_luma double, failed long").withColumnRenamed("key", key)
 
 
 def store_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -372,4 +416,4 @@ def store_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
