@@ -198,7 +198,101 @@ def test_warc(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(map(bytes, raw.values())))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r)) for r in raw.values()))
     back = warc.read(spark, str(tmp_path)).collect()
-    assert len(back) == 6 and {warc.parse(bytes(r.record))[0]["warc-record-id"] for r in back} == {warc.parse(bytes(r))[0]["warc-record-id"] for r in raw.values()}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(map(bytes, raw.values()))) + b"\x1f\x8bjunk")
+    (tmp_path / "d.warc").write_bytes(bytes(raw[1]) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut short")
+    back = warc.read(spark, str(tmp_path)).collect()
+    assert len(back) == 10 and {warc.parse(bytes(r.record))[0]["warc-record-id"] for r in back} == {warc.parse(bytes(r))[0]["warc-record-id"] for r in raw.values()}
+
+
+def test_warc_codings_and_headers():
+    import gzip
+
+    def made(http, body):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + http + b"\r\n" + body
+        return warc.derivatives(warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a"), ("WARC-Date", "d"), ("WARC-IP-Address", "1.2.3.4"), ("WARC-Block-Digest", "sha1:B")], block))
+
+    page, chunked = b"<p>hello world</p>", b"Transfer-Encoding: chunked\r\n"
+    cut = lambda b: b"%x;x=1\r\n%s\r\n%x\r\n%s\r\n0\r\n\r\n" % (5, b[:5], len(b) - 5, b[5:])
+    deflate = zlib.compressobj(wbits=-15)
+    raw = deflate.compress(page) + deflate.flush()
+    for http, body in [(b"", page), (chunked, cut(page)), (chunked, page), (b"Content-Encoding: gzip\r\n", gzip.compress(page)), (chunked + b"Content-Encoding: GZIP\r\n", cut(gzip.compress(page))), (b"Content-Encoding: deflate\r\n", raw), (b"Content-Encoding: deflate\r\n", zlib.compress(page)), (b"Content-Encoding: identity\r\n", page)]:
+        meta, conversion = made(http, body)
+        assert conversion["body"] == "hello world", http
+        assert dict(conversion["headers"])["WARC-IP-Address"] == "1.2.3.4" and dict(meta["headers"])["WARC-Source-Block-Digest"] == "sha1:B" and "http-content-type: text/html" in meta["body"]
+    for http, body in [(b"Content-Encoding: br\r\n", b"x"), (b"Content-Encoding: gzip\r\n", gzip.compress(page)[:20]), (chunked, b"ff\r\nshort")]:
+        (meta,) = made(http, body)
+        assert "decodeError: " in meta["body"]
+
+
+def test_warc_edges(spark):
+    """Empty table, repeated rows, a very long page, columns of clashing names, a text key."""
+    rows = [("a", "u", "<p>x</p>"), ("a", "u", "<p>x</p>"), ("b", None, "<p>" + "long word " * 200_000 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for c in ("k", "u", "h", "r", "record", "body", "headers"):
+        df = df.withColumn(c, F.lit("own"))
+    got = warc.derive(warc.responses(df), "page_id").collect()
+    assert len(got) == 6 and len({r.record_id for r in got if r.page_id == "a"}) == 2
+    assert {len(r.body) for r in got if r.page_id == "b" and r.record_type == "conversion"} == {len("long word " * 200_000) - 1}
+    assert warc.derive(warc.responses(df.limit(0)), "page_id").count() == 0
+
+
+def jpeg(coefficients, tables, own):
+    """A greyscale baseline frame of the blocks given, by a plain bit writer; own: with its Huffman tables inside."""
+    codes = {}
+    for key in (0x00, 0x10):
+        code, k, (counts, symbols) = 0, 0, tables[key]
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                codes[key, symbols[k]] = f"{code:0{length}b}"
+                code, k = code + 1, k + 1
+            code <<= 1
+    bits, last = [], 0
+    size = lambda v: abs(v).bit_length()
+    tail = lambda v: "" if not v else f"{v if v > 0 else v + (1 << size(v)) - 1:0{size(v)}b}"
+    for block in coefficients.tolist():
+        bits += [codes[0, size(block[0] - last)], tail(block[0] - last)]
+        last, run = block[0], 0
+        for v in block[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                bits.append(codes[0x10, 0xF0])
+                run -= 16
+            bits += [codes[0x10, run << 4 | size(v)], tail(v)]
+            run = 0
+        if run:
+            bits.append(codes[0x10, 0])
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    scan = bytes(int(text[k : k + 8], 2) for k in range(0, len(text), 8)).replace(b"\xff", b"\xff\x00")
+    n = len(coefficients)
+    huff = b"".join(media._segment(0xC4, bytes([key]) + tables[key][0] + tables[key][1]) for key in (0x00, 0x10)) if own else b""
+    sof = media._segment(0xC0, bytes([8, 0, 8]) + (8 * n).to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
+    return b"\xff\xd8" + media._segment(0xDB, b"\0" + b"\1" * 64) + sof + huff + media._segment(0xDA, b"\1\1\0\0\x3f\0") + scan + b"\xff\xd9"
+
+
+def test_media_frames_of_others(spark):
+    rng = np.random.default_rng(1)
+    blocks = (rng.integers(-200, 200, (6, 64)) * (rng.random((6, 64)) < 0.2)).astype(np.int32)
+    standard = media.standard_tables()
+    assert [len(standard[k][1]) == sum(standard[k][0]) == n for k, n in ((0, 12), (1, 12), (16, 162), (17, 162))] == [True] * 4
+    for own in (True, False):
+        frame = jpeg(blocks, standard, own)
+        assert (media.decode_frame(frame)[0] == blocks).all()
+    frame = jpeg(blocks, standard, False)
+    rng, broken = random.Random(5), []
+    for _ in range(300):  # any bytes may be wrong
+        bad = bytearray(frame)
+        for _ in range(rng.randint(1, 6)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        broken.append(bytes(bad[: rng.choice([len(bad), rng.randrange(len(bad))])]))
+    for data in (media.write_avi(broken, 48, 8), media.write_avi([frame], 48, 8)[:-40], b"RIFF" + b"LIST\xff\xff\xff\x7f" * 2000):
+        media.read(data)
+    zero = frame.replace(bytes([1, 1, 0x11, 0]), bytes([1, 1, 0x00, 0]), 1)
+    films = [("two", media.write_avi([frame, zero, frame], 48, 8)), ("none", media.write_avi([zero], 48, 8)), ("empty", b"")]
+    got = media.clips(spark.createDataFrame(films, "path string, content binary")).collect()
+    assert [(r.path, r.clip, r.first_frame, r.last_frame, r.failed) for r in got] == [("two", 0, 0, 2, 1), ("none", None, None, None, 1)]
 
 
 def test_toxicity(spark, odd, none):
