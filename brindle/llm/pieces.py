@@ -2,14 +2,14 @@
 
 Where no piece of the vocabulary crosses from another character to the whitespace marker
 (checked when the model is loaded), a text falls into chunks of spaces followed by other
-characters, and chunks never affect each other. Each task keeps a table of the distinct
-chunks it has met: a chunk is segmented by the library once, and a text's ids are joined
-back by position from that table. Entries and their length are bounded; what doesn't fit is
-segmented once for each slice of texts, so memory stays the same at every size. A global table of
-distinct chunks would need a shuffle of every word of the corpus and was not built.
+characters, and chunks never affect each other. Texts are split into chunks slice by slice and written as
+codes of the slice's distinct chunks; the distinct chunks of all slices become one table, in which the library segments
+and decodes each chunk once in the whole corpus; ids and decoded chunks are joined back to the slices that
+have them, and each text's ids are put together by position. A slice has a chunk once however often it
+occurs, so no chunk holds more rows than there are slices; memory is that of a slice of SLICE bytes, or of its longest text.
 
 Nulls and edges: null counts as empty text; an empty text has the begin and end ids alone and
-decodes to empty text; rows repeat as often as the input has them; other columns play no part.
+decodes to empty text; keys of any type, also null; rows repeat as often as the input has them; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,28 +18,45 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import text as tx
+from brindle.llm.neardup import runs
+from brindle.llm.tables import Scratch
 
 MODEL = "piece_bpe_32k.model"
-CACHED = 400_000
+SLICE = 1 << 23
 _CHUNK = re.compile(" +[^ ]*")
 _MARK = "▁"
 
 
-class ChunkTable(dict):
-    """chunk without its first space -> (ids as little-endian bytes, decoded text with that space)."""
+def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks without their first space, codes of all texts' chunks, where each text's codes begin and end)."""
+    texts = [t.replace(_MARK, " ") if _MARK in t else t for t in texts]
+    spaced = {k: [c[1:] for c in _CHUNK.findall(" " + t)] for k, t in enumerate(texts) if "  " in t or t[:1] == " "}
+    plain = tx.Chunks(["" if k in spaced else t for k, t in enumerate(texts)])
+    distinct, codes, at = plain.distinct, plain.codes, plain.offsets
+    parts = [codes[at[k] : at[k + 1]] if t else codes[:0] for k, t in enumerate(texts)]
+    if spaced:
+        code = {c: i for i, c in enumerate(distinct)}
+        for k, own in spaced.items():
+            parts[k] = np.fromiter((code.setdefault(c, len(code)) for c in own), np.int32, len(own))
+        distinct = list(code)
+    return distinct, np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
 
-    longest = 64
+
+class Segmenter:
+    """The library's segmentation of chunks, many in a call."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         crossing = [p for p in map(sp.id_to_piece, range(sp.vocab_size())) if re.search(f"[^{_MARK}]{_MARK}", p)]
         if crossing:
@@ -49,8 +66,8 @@ class ChunkTable(dict):
         self.space = [sp.piece_to_id(_MARK)]
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
 
-    def segment(self, chunks: list[str]) -> Iterator[tuple[str, tuple[bytes, str]]]:
-        """(chunk, (ids, decoded text with its first space)), many chunks in a call of the library."""
+    def __call__(self, chunks: list[str]) -> Iterator[tuple[str, bytes, str]]:
+        """(chunk, ids as little-endian bytes, decoded text with its first space)."""
         plain = [c for c in chunks if c and " " not in c]
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
@@ -61,64 +78,81 @@ class ChunkTable(dict):
             decoded = self.sp.decode(ids).split(" ")
             if not len(part) == len(decoded) == len(edge) - 1:
                 raise ValueError("chunks and pieces don't agree")
-            yield from zip(part, zip([raw[a:b] for a, b in zip(edge, edge[1:])], [" " + d for d in decoded]))
+            yield from zip(part, [raw[a:b] for a, b in zip(edge, edge[1:])], [" " + d for d in decoded])
         for c in chunks:
             if not c or " " in c:
                 ids = self.sp.encode(c) or self.space
-                yield c, (np.array(ids, "<u4").tobytes(), self.sp.decode(self.lead + ids)[1:])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids with begin and end as little-endian bytes, decode(ids)) of each whole text."""
-        texts = [t.replace(_MARK, " ") if _MARK in t else t for t in texts]
-        spaced = {k: [c[1:] for c in _CHUNK.findall(" " + t)] for k, t in enumerate(texts) if "  " in t or t[:1] == " "}
-        chunks = tx.Chunks(["" if k in spaced else t for k, t in enumerate(texts)])
-        distinct = [*dict.fromkeys([*chunks.distinct, *(c for s in spaced.values() for c in s)])]
-        known = [self.get(c) for c in distinct]
-        got = dict(self.segment([c for c, i in zip(distinct, known) if i is None]))
-        if room := max(0, CACHED - len(self)):
-            self.update(islice(((c, x) for c, x in got.items() if len(c) <= self.longest), room))
-        got |= {c: i for c, i in zip(distinct, known) if i is not None}
-        ids = chunks.join([got[c][0] for c in chunks.distinct])
-        same = np.array([got[c][1] == " " + c for c in chunks.distinct])[chunks.codes]
-        out = []
-        for k, t in enumerate(texts):
-            if not t:
-                out.append((self.begin + self.end, ""))
-            elif k in spaced:
-                made = [got[c] for c in spaced[k]]
-                out.append((b"".join([self.begin, *(i for i, _ in made), self.end]), "".join([d for _, d in made])[1:]))
-            else:
-                a, b = chunks.offsets[k : k + 2]
-                decoded = t if same[a:b].all() else "".join([got[chunks.distinct[c]][1] for c in chunks.codes[a:b]])[1:]
-                out.append((self.begin + ids[k] + self.end, decoded))
-        return out
+                yield c, np.array(ids, "<u4").tobytes(), self.sp.decode(self.lead + ids)[1:]
 
 
 @lru_cache(maxsize=2)
-def table(path: str) -> ChunkTable:
-    return ChunkTable(path)
+def segmenter(path: str) -> Segmenter:
+    return Segmenter(path)
+
+
+def encode(spark: SparkSession, docs: DataFrame, path: str, key: str, text: str, schema: str, arrays) -> DataFrame:
+    """(key, ...) of every row: the columns that `arrays` makes of [(ids with begin and end as little-endian bytes, decoded text)]; schema names them."""
+    scratch = Scratch(spark, "pieces")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = rows.schema["k"].dataType
+
+    def code(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in tx.slices(batches, "t", SLICE):
+            distinct, codes, at = split([x or "" for x in b.column("t").to_pylist()])
+            lists = [pa.array([v], pa.list_(t)) for v, t in ((b.column("k").to_pylist(), b.schema.field("k").type), (distinct, pa.string()))]
+            raw = [pa.array([pack.compress(x.tobytes())], pa.binary()) for x in (codes, at)]
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), lists[0], *raw, lists[1]], ["slice", "keys", "codes", "ends", "chunks"])
+            n += 1
+
+    fields = [T.StructField("slice", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("codes", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("chunks", T.ArrayType(T.StringType()))]
+    coded = scratch.save(rows.mapInArrow(code, T.StructType(fields)), "coded")
+
+    def segment(batches):
+        s = segmenter(path)
+        for b in batches:
+            made = list(s(b.column("chunk").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made)) or [[]] * 3, (pa.string(), pa.binary(), pa.string()))], ["chunk", "ids", "decoded"])
+
+    distinct = coded.select(F.explode("chunks").alias("chunk")).distinct()
+    known = scratch.save(distinct.mapInArrow(segment, "chunk string, ids binary, decoded string"), "chunks")
+    asked = coded.select("slice", F.posexplode("chunks").alias("code", "chunk")).join(known, "chunk").select("slice", "code", "ids", "decoded")
+    slices = coded.select("slice", F.lit(-1).alias("code"), "keys", "codes", "ends")
+    both = slices.unionByName(asked, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "code")
+
+    def join(batches):
+        s, unpack = segmenter(path), zstandard.ZstdDecompressor()
+        for g in runs(batches, ["slice"]):
+            keys = g.column("keys")[0].as_py()
+            codes, at = (np.frombuffer(unpack.decompress(g.column(c)[0].as_py()), t) for c, t in (("codes", np.int32), ("ends", np.int64)))
+            ids, decoded = g.column("ids").to_pylist()[1:], g.column("decoded").to_pylist()[1:]
+            texts = (("".join([decoded[c] for c in codes[a:z].tolist()])[1:]) for a, z in zip(at[:-1].tolist(), at[1:].tolist()))
+            made = [(s.begin + i + s.end, d) for i, d in zip(tx.gathered(codes, at, ids), texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b_type), *arrays(made)], names)
+
+    names = [f.name for f in T.StructType.fromDDL(f"k int, {schema}").fields]
+    names[0] = key
+    out = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL(schema).fields])
+    b_type = pa.field("k", _arrow(kind)).type
+    return both.mapInArrow(join, out)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array<int>, with begin and end) and decoded text of every row."""
-    return _per_text(docs, path, key, text, f"{key} long, ids array<int>, decoded string", lambda made: [pa.array([np.frombuffer(i, "<i4") for i, _ in made], pa.list_(pa.int32())), pa.array([d for _, d in made], pa.string())], ["ids", "decoded"])
+    return encode(spark, docs, path, key, text, "ids array<int>, decoded string", lambda made: [pa.array([np.frombuffer(i, "<i4") for i, _ in made], pa.list_(pa.int32())), pa.array([d for _, d in made], pa.string())])
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return _per_text(
-        docs, path, "doc_id", "text", "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-        lambda made: [pa.array([len(i) // 4 for i, _ in made], pa.int64()), pa.array([sha(i) for i, _ in made]), pa.array([sha(d.encode()) for _, d in made])],
-        ["n_tokens", "ids_sha256", "decoded_sha256"],
+    return encode(
+        spark, docs, path, "doc_id", "text", "n_tokens long, ids_sha256 string, decoded_sha256 string",
+        lambda made: [pa.array([len(i) // 4 for i, _ in made], pa.int64()), pa.array([sha(i) for i, _ in made], pa.string()), pa.array([sha(d.encode()) for _, d in made], pa.string())],
     )
-
-
-def _per_text(docs: DataFrame, path: str, key: str, text: str, schema: str, arrays, names: list[str]) -> DataFrame:
-    def run(batches):
-        t = table(path)
-        for b in tx.slices(batches, text, 1 << 23):
-            made = t.encode([x or "" for x in b.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(key), *arrays(made)], [key, *names])
-
-    return docs.select(key, text).mapInArrow(run, schema)

@@ -155,12 +155,17 @@ class Chunks:
 
         first: False leaves each text's first chunk out.
         """
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n, at = size[self.codes], (np.cumsum(size) - size)[self.codes]
-        if not first and len(n):
-            n[self.offsets[:-1]] = 0
-        end = np.cumsum(n)
-        out = flat[np.repeat(at - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
-        edge = (4 * np.concatenate(([0], end))[self.offsets]).tolist()
-        return [out[a:b] for a, b in zip(edge, edge[1:])]
+        return gathered(self.codes, self.offsets, ids, first)
+
+
+def gathered(codes: np.ndarray, offsets: np.ndarray, ids: list[bytes], first: bool = True) -> list[bytes]:
+    """The ids (little-endian 32 bits) of each run of codes; first: False leaves the first code of each run out."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    n, at = size[codes], (np.cumsum(size) - size)[codes]
+    if not first and len(n):
+        n[offsets[:-1]] = 0
+    end = np.cumsum(n)
+    out = flat[np.repeat(at - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+    edge = (4 * np.concatenate(([0], end))[offsets]).tolist()
+    return [out[a:b] for a, b in zip(edge, edge[1:])]

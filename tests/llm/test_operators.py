@@ -374,7 +374,7 @@ def test_suffixes_of_rows_that_repeat_an_id(spark):
 
 def test_sentencepiece(spark, small, odd, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.MODEL))
-    for df in (small, odd):
+    for df in (small, clash(odd)):
         got = defaultdict(set)
         for r in pieces.digests(spark, df, P.path(pieces.MODEL)).collect():
             got[r.doc_id].add((r.n_tokens, r.ids_sha256, r.decoded_sha256))
@@ -382,8 +382,8 @@ def test_sentencepiece(spark, small, odd, none):
             ids = [1, *sp.encode(r.text or ""), 2]
             want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
             assert want in got[r.doc_id], r.text
-    one = pieces.round_trip(spark, small.limit(3), P.path(pieces.MODEL)).collect()
-    assert all(sp.decode(r.ids) == r.decoded for r in one)
+    one = pieces.round_trip(spark, small.limit(3).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), P.path(pieces.MODEL)).collect()
+    assert len(one) == 3 and all(sp.decode(r.ids) == r.decoded and r.doc_id[0] == "d" for r in one)
     assert pieces.digests(spark, none, P.path(pieces.MODEL)).count() == 0
 
 
