@@ -4,8 +4,8 @@ Training adds up hashed n-gram counts per language over all labelled rows: each
 with numpy and sends at most languages x buckets sums, Spark adds them up, and the matrix of
 log-probabilities (buckets x languages, float32) is broadcast. Its size depends on
 `bits` and the number of languages alone, never on the corpus; a label set of more than
-`max_languages` values raises. Scoring gathers the matrix rows of every n-gram of the
-whole text, batch by batch.
+`max_languages` values raises. Scoring counts the buckets of each whole text, BLOCK n-grams at a time, and multiplies
+these sparse counts with the matrix rows that they name, CELLS numbers at a time, so memory doesn't grow with the languages.
 
 Nulls and edges: a null or letterless text gets `und` with score 0; rows with null id, text or
 language don't train; without any training row every text is `und`; rows repeat as often as
@@ -29,6 +29,7 @@ ORDERS = (1, 2, 3)
 BITS = 15
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+BLOCK, CELLS = 1 << 20, 1 << 22
 _LETTER = regex.compile(r"\p{L}")
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -101,9 +102,14 @@ class Model:
         known = np.array([bool(_LETTER.search(t)) for t in texts], bool)
         total = np.zeros((len(texts), len(self.langs)))
         for g, doc in ngrams(texts, self.bits) if known.any() else ():
-            if len(g):
-                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                total[doc[at]] += np.add.reduceat(self.matrix[g], at, axis=0, dtype=np.float64)
+            for s in range(0, len(g), BLOCK):
+                pair, n = np.unique(doc[s : s + BLOCK].astype(np.int64) << self.bits | g[s : s + BLOCK], return_counts=True)
+                step = max(CELLS // len(self.langs), 1)
+                for k in range(0, len(pair), step):
+                    of = pair[k : k + step] >> self.bits
+                    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    rows = self.matrix[pair[k : k + step] & (len(self.matrix) - 1)] * n[k : k + step, None].astype(np.float32)
+                    total[of[at]] += np.add.reduceat(rows, at, axis=0, dtype=np.float64)
         best = total.argmax(1)
         p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return [self.langs[i] if k else UNKNOWN for i, k in zip(best, known)], np.where(known, p, 0.0)
