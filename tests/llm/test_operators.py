@@ -55,6 +55,88 @@ def test_language(spark, small, odd, none):
     assert langid.keep_identified(spark, none).count() == 0
 
 
+def plain_buckets(t, bits):
+    out, mult, top = [], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), (1 << 32) - 1
+    t = [ord(c) for c in t.lower()]
+    for i in range(len(t)):
+        h = 0
+        for k in range(1, min(3, len(t) - i) + 1):
+            h = (h ^ (t[i + k - 1] * mult[k - 1] & top)) * 0x01000193 & top
+            g = h + k & top
+            out.append(((g ^ g >> 15) * 0x2C1B3C6D & top) >> 32 - bits)
+    return out
+
+
+def test_language_is_naive_bayes(spark, monkeypatch):
+    """Counts, log-probabilities, decisions and posteriors by plain loops; tiny blocks give the same."""
+    rng, bits = random.Random(6), 10
+    texts = {lang: ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(20)] for lang, letters in (("a", "abcde é"), ("b", "cdefg "), ("c", "xyz中 "))}
+    rows = [(t, lang) for lang, ts in texts.items() for t in ts] + [(None, "a"), ("zz", None)]
+    langs, matrix = langid.fit(spark, spark.createDataFrame(rows, "text string, lang string").repartition(3), bits=bits)
+    counts = {lang: [1] * (1 << bits) for lang in texts}
+    for lang, ts in texts.items():
+        for t in ts:
+            for g in plain_buckets(t, bits):
+                counts[lang][g] += 1
+    assert langs == ["a", "b", "c"]
+    logs = {lang: [math.log(n / sum(c)) for n in c] for lang, c in counts.items()}
+    assert np.allclose(matrix, np.array([logs[x] for x in langs]).T, atol=1e-5)
+    asked = ["".join(rng.choices("abcdefgxyz é中", k=rng.randint(0, 30))) for _ in range(60)] + [None, "", "12", "a" * 3000]
+    got = langid.Model(langs, matrix.tobytes())(asked)
+    for t, lang, p in zip(asked, *got):
+        sums = [sum(logs[x][g] for g in plain_buckets(t or "", bits)) for x in langs]
+        if not any(c.isalpha() for c in t or ""):
+            assert (lang, p) == ("und", 0.0)
+            continue
+        want = 1 / sum(math.exp(s - max(sums)) for s in sums)
+        assert abs(p - want) < 1e-3 and (lang == langs[sums.index(max(sums))] or want < 0.51)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    monkeypatch.setattr(langid, "CELLS", 12)
+    again = langid.Model(langs, matrix.tobytes())(asked)
+    assert again[0] == got[0] and np.allclose(again[1], got[1], atol=1e-4)
+
+
+def test_toxicity_is_ftrl():
+    """Features are the distinct words, pairs and skip pairs; training is FTRL-proximal coordinate by coordinate."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("ab cd ef gh ij kl".split(), k=rng.randint(0, 9))) + rng.choice(["", "!", " Ab"]) for _ in range(60)]
+    g, doc = toxicity.features(*toxicity.tx.utf8(pa.array(texts), lower=True), 22)
+    grams = []
+    for t in texts:
+        w = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        grams.append({(x,) for x in w} | {(x, y, 1) for x, y in zip(w, w[1:])} | {(x, y, 2) for x, y in zip(w, w[2:])})
+    have = [set(g[doc == k].tolist()) for k in range(len(texts))]
+    names = {}
+    for mine, plain in zip(have, grams):
+        assert len(mine) == len(plain)
+    every = sorted({x for p in grams for x in p}, key=str)
+    for x in every:
+        held = [h for h, p in zip(have, grams) if x in p]
+        names[x] = set.intersection(*held) - set().union(*(h for h, p in zip(have, grams) if x not in p))
+    assert len(set(g.tolist())) == len(every)
+    bits, labels = 6, np.array([rng.randint(0, 1) for _ in range(40)])
+    rows = [np.array(sorted(rng.sample(range(64), rng.randint(0, 8))), np.int64) for _ in labels]
+    w, bias = toxicity.ftrl(rows, labels, bits, epochs=2, alpha=0.7, l1=0.3, cost=(0.6, 2.0))
+    z, n, order = [0.0] * 65, [0.0] * 65, np.random.default_rng(7)
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == 64 else (0.3, 1.0)  # the bias is the last
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.7 + l2)
+
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            at = [*rows[k].tolist(), 64]
+            ws = [weight(i) for i in at]
+            grad = (1 / (1 + math.exp(-sum(ws))) - labels[k]) * (2.0 if labels[k] else 0.6)
+            for i, x in zip(at, ws):
+                sigma = (math.sqrt(n[i] + grad * grad) - math.sqrt(n[i])) / 0.7
+                z[i] += grad - sigma * x
+                n[i] += grad * grad
+    assert np.allclose(w, [weight(i) for i in range(64)], atol=1e-9) and abs(bias - weight(64)) < 1e-9
+
+
 def packed(spark, df, **more):
     return packing.pack(spark, df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, packing.special_tokens(P.path("byte_bpe_50k.json")), **more)
 
