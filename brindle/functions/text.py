@@ -52,6 +52,11 @@ def has_any(t: Column, terms: list[str]) -> Column:
     return t.rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", term) for term in terms))
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def language_profile(t: Column) -> Column:
     """struct(primary_language, script, hinglish_hints, confidence)."""
     tokens = F.transform(F.regexp_extract_all(t, F.lit("([A-Za-zऀ-ॿ]+)"), F.lit(1)), F.lower)
@@ -73,18 +78,15 @@ def evidence_language(t: Column, markers: tuple[str, ...] = ("mast", "bakwas", "
 
 def signal_types(t: Column) -> Column:
     """Sorted array of what a review speaks of; `unclear` if of nothing known."""
-    low = F.lower(t)
-    gate = has_any(low, [r["term"] for r in lx.of_type("delivery_service")])
-    found = F.array_compact(  # listed in order, so that no sort is needed
-        F.array(
-            F.when(gate & has_any(low, ["delivery", "courier"]), "delivery"),
-            F.when(gate & has_any(low, ["packag", "box"]), "packaging"),
-            F.when(has_any(low, [r["term"] for r in lx.of_type("aspect", "spelling_variant")]), "product"),
-            F.when(gate & has_any(low, ["seller"]), "seller"),
-            F.when(gate & has_any(low, ["return", "refund", "warranty", "service"]), "service"),
-        )
-    )
-    return F.when(F.size(found) == 0, F.array(F.lit("unclear"))).otherwise(found)
+
+    def found(low: Column) -> Column:
+        gate = F.coalesce(has_any(low, [r["term"] for r in lx.of_type("delivery_service")]), F.lit(False))
+        gated = [("delivery", ["delivery", "courier"]), ("packaging", ["packag", "box"]), ("seller", ["seller"]), ("service", ["return", "refund", "warranty", "service"])]
+        kinds = let(gate, lambda g: F.array(*(F.when(g & has_any(low, terms), kind) for kind, terms in gated)))
+        product = F.when(has_any(low, [r["term"] for r in lx.of_type("aspect", "spelling_variant")]), "product")
+        return F.array_sort(F.array_compact(F.concat(kinds, F.array(product))))
+
+    return let(let(F.lower(t), found), lambda a: F.when(F.size(a) == 0, F.array(F.lit("unclear"))).otherwise(a))
 
 
 def sarcasm(t: Column) -> Column:

@@ -44,8 +44,8 @@ def ingest(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     else:
         batch = batch.withColumn("known", F.lit(None).cast("boolean")).withColumn("stored_id", F.lit(None).cast("string"))
     touch = (F.col("nth") > 1) | F.coalesce("known", F.lit(False))
-    leads = first_by(batch.where(~touch), group, ["seq"]).select(*group, F.col("review_id").alias("first_id"))
-    batch = batch.join(leads, group, "left").withColumn("canonical_id", F.coalesce("stored_id", "first_id", "review_id"))
+    leads = F.first(F.when(~touch, F.col("review_id"))).over(W.partitionBy(*group).orderBy(touch, "seq"))  # the first that isn't known, null if all are
+    batch = batch.withColumn("first_id", leads).withColumn("canonical_id", F.coalesce("stored_id", "first_id", "review_id"))
     status = F.when(touch, "touch").when(F.col("canonical_id") != F.col("review_id"), "attach").otherwise("insert")
     return batch.withColumn("status", status).drop("nth", "known", "stored_id", "first_id", "rating_key")
 
@@ -101,8 +101,13 @@ def edges(products: DataFrame, column: str = "competitor_product_ids", key: str
 
 
 def balanced(rows: DataFrame, quotas: dict[str, int], most: int, quality: list, product: str = "product_id", rating: str = "rating") -> DataFrame:
-    """Up to a quota of each rating per product, best first, then filled up to `most` from what is left."""
+    """Up to a quota of each rating per product, best first, then filled up to `most` from what is left.
+
+    A row that has more than `most` better ones beside the quota of its own rating can't fill; such rows go before a
+    product's ratings meet, so that the second window has a bounded number of rows for each rating of a product.
+    """
     quota = F.coalesce(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))[F.col(rating)], F.lit(0))
-    r = rows.withColumn("__in", F.row_number().over(W.partitionBy(product, rating).orderBy(*quality)) <= quota)
+    r = rows.withColumn("__nth", F.row_number().over(W.partitionBy(product, rating).orderBy(*quality))).where(F.col("__nth") <= max(quotas.values(), default=0) + most)
+    r = r.withColumn("__in", F.col("__nth") <= quota).drop("__nth")
     r = r.withColumn("__all", F.row_number().over(W.partitionBy(product).orderBy(F.desc("__in"), *quality)))
     return r.where(F.col("__in") | (F.col("__all") <= most)).drop("__in", "__all")

@@ -9,7 +9,7 @@ from brindle.functions import scores as sc
 from brindle.functions import text as tf
 from brindle.operators import compare, dashboard, golden, imports, listing, mutate, news, quality, report, summary
 from brindle.plans import adapter as ad
-from brindle.plans.catalogue import _NEWS, ASP, BENCH, FEEDBACK, FORECAST, KEYED, PD, PICKS, RV, SCORED, THEMES, M, N, R, _count_terms, _keyed, _news, query, scored
+from brindle.plans.catalogue import _NEWS, ASP, BENCH, FORECAST, KEYED, ORACLES, PD, PICKS, RV, SCORED, THEMES, M, N, R, _count_terms, _keyed, _news, query, scored
 
 LANGUAGE = "CASE WHEN len(regexp_extract_all(lower(raw_text), '\\b(mast|bakwas|ekdum|nahi|nahin|hai|bahut|bhai)\\b')) >= 3 THEN 'hinglish' WHEN len(regexp_extract_all(lower(raw_text), '\\b(mast|bakwas|ekdum|nahi|nahin|hai|bahut|bhai)\\b')) >= 1 THEN 'mixed' ELSE 'english' END"
 LABEL = lambda c: f"array_to_string(list_transform(string_split(lower(replace({c}, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
@@ -446,20 +446,6 @@ def dom34_sca20_gap_chart(spark, sf_dir):
 NAMED = lambda c: f"list_sort(list_filter([{c}], x -> x IS NOT NULL))"
 
 
-@query(
-    """SELECT CASE WHEN len(o) + len(t) + len(g) = 0 THEN 'Benchmark evidence is still thin.' ELSE 'Benchmark indicates that ' || array_to_string(list_filter([CASE WHEN len(o) > 0 THEN 'users prefer the selected product for ' || po END, CASE WHEN len(t) > 0 THEN 'users prefer the competitor for ' || pt END, CASE WHEN len(g) > 0 THEN pg || ' need more comparable evidence' END], lambda x: x IS NOT NULL), '; ') || '.' END AS headline,
-    CASE WHEN len(o) > 0 THEN 'Users appear to prefer the selected product for ' || po || '.' ELSE 'No clear selected-product preference is visible yet.' END AS selected_product_summary, CASE WHEN len(t) > 0 THEN 'Users appear to prefer the competitor for ' || pt || '.' ELSE 'No clear competitor preference is visible yet.' END AS competitor_summary,
-    CASE WHEN len(g) > 0 THEN pg || ' have evidence gaps, so they should not be read as confirmed wins or losses.' ELSE 'Read this benchmark as directional until more comparable reviews are available.' END AS risk_summary
-    FROM (SELECT o, t, g, """
-    + ", ".join(f"CASE WHEN len({x}) < 2 THEN array_to_string({x}, '') ELSE array_to_string({x}[:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] END AS p{x}" for x in "otg")
-    + " FROM (SELECT "
-    + ", ".join(f"coalesce(list_sort(list({LABEL('aspect')}) FILTER ({c})), []) AS {x}" for x, c in (("o", "confidence_label NOT LIKE '%insufficient%' AND gap > 0"), ("t", "confidence_label NOT LIKE '%insufficient%' AND gap < 0"), ("g", "confidence_label LIKE '%insufficient%'")))
-    + " FROM bl))", RV, BENCH,
-)
-def dom12_benchmark_texts(spark, sf_dir):
-    return report.benchmark_summary(compare.benchmark(ad.reviews(spark, sf_dir), "Brand#1", "Brand#2"))
-
-
 TAGS = """tags AS (SELECT 'priority' AS family, CASE WHEN relevance_score >= 70 THEN 'high' WHEN relevance_score >= 35 THEN 'medium' ELSE 'low' END AS tag FROM scored_news UNION ALL SELECT 'tier', CAST(page_id % 3 AS VARCHAR) FROM n
   UNION ALL SELECT 'company', x FROM (SELECT unnest(list_distinct(list_concat(list_filter({makers}, lambda x: contains(t, x)), list_filter(['qualcomm', 'mediatek'], lambda x: contains(t, x))))) AS x FROM n)
   UNION ALL SELECT 'region', replace(x, ' ', '_') FROM (SELECT unnest(list_filter({regions}, lambda x: contains(t, x))) AS x FROM n)
@@ -555,12 +541,6 @@ BRIEF = f"""brief AS (SELECT c.product_id, c.product_id || ' currently has ' ||
   (SELECT product_id, CASE WHEN d > u THEN 'likely_declining' WHEN u > d THEN 'likely_improving' ELSE 'likely_stable_or_mixed' END AS direction, CASE WHEN h >= half THEN 'high' WHEN m + h >= half THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT product_id, {N("contains(direction, 'improving')")} AS u, {N("contains(direction, 'declining')")} AS d, {N("confidence_label = 'high'")} AS h, {N("confidence_label = 'medium'")} AS m, greatest(1, count(*) // 2) AS half FROM fd GROUP BY product_id)) o ON o.product_id = c.product_id)"""
 
 
-@query("SELECT product_id, brief FROM brief", RV, SCORED, CARD4, ASP, PICKS, FORECAST, BRIEF)
-def dom9_brief_texts(spark, sf_dir):
-    r, products, net, _, aspects = _products(spark, sf_dir)
-    return report.brief(products, net, report.aspect_picks(aspects), compare.overall_direction(compare.forecast(r, "1998-01-01", "1998-01-31")))
-
-
 REPORT = f"""top3 AS (SELECT product_id, CASE sentiment WHEN 'negative' THEN 'risk' ELSE 'strength' END AS kind, {LABEL("aspect")} || CASE sentiment WHEN 'negative' THEN ' is the clearest customer risk area to validate.' ELSE ' is the strongest positive customer signal.' END AS bullet, row_number() OVER (PARTITION BY product_id, sentiment ORDER BY severity DESC, mentions DESC, aspect) AS place FROM th WHERE sentiment <> 'neutral'),
  lists AS (SELECT product_id, n, (SELECT list(bullet ORDER BY place) FROM top3 t WHERE t.product_id = p.product_id AND kind = 'strength' AND place <= 3) AS good, (SELECT list(bullet ORDER BY place) FROM top3 t WHERE t.product_id = p.product_id AND kind = 'risk' AND place <= 3) AS bad FROM (SELECT product_id, count(*) AS n FROM reviews GROUP BY product_id) p),
  full_ AS (SELECT product_id, n, coalesce(good, ['No clear positive customer signal is strong enough yet. More review evidence is needed.']) AS good, coalesce(bad, ['No clear customer risk signal is strong enough yet. Continue collecting review evidence.']) AS bad FROM lists)"""
@@ -618,3 +598,55 @@ def sca47_sca49_null_words(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents")
     t, s = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")), F.when(F.col("doc_id") % 3 == 0, " N/A ").otherwise(F.col("source"))
     return d.select("doc_id", tf.first_filled(F.lit(" "), t).alias("first_filled"), tf.null_token(s).alias("source"))
+
+
+# --- SQL of queries of the catalogue that came without ------------------------------------------
+
+
+def _sql(name: str, sql: str, *ctes: str) -> None:
+    ORACLES[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+
+
+_sql("dom9_brief", "SELECT product_id, brief FROM brief", RV, SCORED, CARD4, ASP, PICKS, FORECAST, BRIEF)
+_sql(
+    "dom12_dom35_benchmark_summary",
+    """SELECT CASE WHEN len(o) + len(t) + len(g) = 0 THEN 'Benchmark evidence is still thin.' ELSE 'Benchmark indicates that ' || array_to_string(list_filter([CASE WHEN len(o) > 0 THEN 'users prefer the selected product for ' || po END, CASE WHEN len(t) > 0 THEN 'users prefer the competitor for ' || pt END, CASE WHEN len(g) > 0 THEN pg || ' need more comparable evidence' END], lambda x: x IS NOT NULL), '; ') || '.' END AS headline,
+    CASE WHEN len(o) > 0 THEN 'Users appear to prefer the selected product for ' || po || '.' ELSE 'No clear selected-product preference is visible yet.' END AS selected_product_summary, CASE WHEN len(t) > 0 THEN 'Users appear to prefer the competitor for ' || pt || '.' ELSE 'No clear competitor preference is visible yet.' END AS competitor_summary,
+    CASE WHEN len(g) > 0 THEN pg || ' have evidence gaps, so they should not be read as confirmed wins or losses.' ELSE 'Read this benchmark as directional until more comparable reviews are available.' END AS risk_summary
+    FROM (SELECT o, t, g, """
+    + ", ".join(f"CASE WHEN len({x}) < 2 THEN array_to_string({x}, '') ELSE array_to_string({x}[:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] END AS p{x}" for x in "otg")
+    + " FROM (SELECT "
+    + ", ".join(f"coalesce(list_sort(list({LABEL('aspect')}) FILTER ({c})), []) AS {x}" for x, c in (("o", "confidence_label NOT LIKE '%insufficient%' AND gap > 0"), ("t", "confidence_label NOT LIKE '%insufficient%' AND gap < 0"), ("g", "confidence_label LIKE '%insufficient%'")))
+    + " FROM bl))", RV, BENCH,
+)
+_sql(
+    "dom14_agg18_news_brief",
+    f"""SELECT family, tag, n, place FROM (SELECT family, tag, count(*) AS n, CAST(row_number() OVER (PARTITION BY family ORDER BY count(*) DESC, tag) AS INT) AS place FROM (SELECT * FROM tags WHERE family <> 'tier'
+    UNION ALL SELECT 'topic', unnest(list_filter([CASE WHEN ph > 0 THEN 'smartphone' END, CASE WHEN ai > 0 THEN 'ai' END, CASE WHEN mk > 0 THEN 'market' END, CASE WHEN oe > 0 THEN 'oem' END], lambda x: x IS NOT NULL))
+      FROM (SELECT {_count_terms(news.SMARTPHONE)} AS ph, {_count_terms(news.AI)} AS ai, {_count_terms(news.MARKET)} AS mk, {_count_terms(news.MAKERS)} AS oe FROM n)) GROUP BY family, tag) WHERE place <= 8""", _NEWS, RELEVANCE, TAGS,
+)
+_sql(
+    "src9_page_text",
+    r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages""",
+)
+_sql(
+    "dom19_import_preview",
+    """SELECT review_id, CASE WHEN raw_text = '' THEN 'raw_text is empty.' ELSE '' END AS errors, array_to_string(list_filter([CASE WHEN row_number() OVER (PARTITION BY review_id ORDER BY seq) > 1 THEN 'review_id is repeated.' END, CASE WHEN raw_text <> '' AND length(raw_text) < 8 THEN 'raw_text is very short.' END,
+    'missing recommended: product_name, source, ' || CASE WHEN raw_text = '' THEN 'raw_text, verified_purchase, helpful_votes' ELSE 'verified_purchase, helpful_votes, brand' END], lambda x: x IS NOT NULL), ';') AS warnings FROM reviews""", RV,
+)
+_sql(
+    "dom20_clean_reviews",
+    rf"""SELECT review_id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason, source, product_id, lower(t) ORDER BY seq, review_id) > 1 THEN 'duplicate' ELSE 'clean' END) AS status FROM (SELECT *, CASE WHEN t = '' THEN 'missing_raw_text' WHEN regexp_full_match(low, 'helpful\s+for\s+\d+') THEN 'helpful_count_only'
+     WHEN metadata THEN 'metadata_only' WHEN junk THEN 'junk_token' WHEN placed THEN 'location_or_address' WHEN t LIKE ',%' OR t LIKE '%District' THEN 'location_like_text' WHEN named THEN 'name_like_text' WHEN (words >= 2 AND opinion) OR words >= 5 THEN NULL WHEN length(t) < 15 THEN 'too_short' WHEN words < 4 AND NOT opinion THEN 'too_few_words' WHEN NOT opinion AND words < 8 THEN 'no_opinion_signal' END AS reason
+     FROM (SELECT *, low LIKE 'review for:%' OR low IN ({", ".join(f"'{x}'" for x in quality.METADATA)}) OR regexp_full_match(t, '[^a-zA-Z]+') OR (words <= 3 AND NOT opinion) AS metadata, NOT opinion AND regexp_full_match(replace(t, ' ', ''), '\p{{L}}+') AND ((words >= 2 AND len(regexp_extract_all(t, '\p{{Lu}}')) > 0.7 * len(regexp_extract_all(t, '\p{{L}}'))) OR (words <= 4 AND regexp_matches(low, 'kumar|kar|singh|rahman|baig|tiwari|mankar'))) AS named
+      FROM (SELECT *, lower(t) AS low, len(string_split(t, ' ')) AS words, regexp_matches(lower(t), '{"|".join(quality.OPINIONS)}') AS opinion, regexp_matches(lower(t), '{"|".join(quality.JUNK)}') AS junk, regexp_matches(lower(t), '{"|".join(quality.PLACES)}') AS placed FROM (SELECT *, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) AS t FROM reviews))))""", RV,
+)
+_sql(
+    "sca31_sca35_identity",
+    """SELECT p_partkey, brand, model_key, brand || '|' || model_key AS canonical_key, brand || '_' || model_key AS product_id, '8gb_ram_256gb_storage' AS variant FROM (SELECT p_partkey, ['tecno', 'infinix', 'redmi', 'samsung', 'iqoo'][p_partkey % 5 + 1] AS brand, ['pova_', 'note_', 'note_', 'galaxy_a', 'z_'][p_partkey % 5 + 1] || p_size || '_5g' AS model_key FROM part)""",
+)
+_sql(
+    "joi15_joi16_joi17_resolution",
+    """SELECT p_partkey, 'tecno_pova_' || p_size || '_pro' AS resolved_id, 'similarity' AS match_kind, round(2.0 * (14 + length(CAST(p_size AS VARCHAR))) / (31 + 2 * length(CAST(p_size AS VARCHAR))), 4)::DOUBLE AS match_score FROM part""",
+)
