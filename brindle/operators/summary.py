@@ -141,6 +141,29 @@ def daily_stats(reviews: DataFrame, facts: DataFrame) -> DataFrame:
     return out
 
 
+def rating_counts(reviews: DataFrame, by: str = "product_id") -> DataFrame:
+    """Rows per product by rating 1 to 5, those of none or another as unknown, and all of them."""
+    r = F.regexp_replace(F.coalesce(F.trim(F.col("rating").cast("string")), F.lit("")), r"\.0$", "")
+    of = lambda k: _n(r == str(k)).alias(f"r{k}")
+    return reviews.groupBy(by).agg(*(of(k) for k in range(1, 6)), _n(~r.isin("1", "2", "3", "4", "5")).alias("unknown"), F.count("*").alias("total"))
+
+
+# Words by which a text of the feed is about something
+FEED_WORDS = ["camera", "battery", "display", "performance", "charging", "heat", "heating", "speaker", "network", "lag", "design", "price", "budget", "value"]
+
+
+def feed_quality(text: Column, title: Column, rating: Column) -> Column:
+    """struct(specific, words, titled, rating) by which a feed prefers rows, the largest first."""
+    from brindle.functions.text import has_any
+
+    t, head = F.coalesce(text, F.lit("")), F.coalesce(title, F.lit(""))
+    words = F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), r"\s+")))
+    return F.struct(
+        has_any(F.lower(t), FEED_WORDS).cast("int").alias("specific"), F.least(words, F.lit(80)).alias("words"),
+        ((head != "") & (F.lower(head) != F.lower(t))).cast("int").alias("titled"), F.coalesce(rating.cast("string"), F.lit("")).alias("rating"),
+    )
+
+
 def phrases(df: DataFrame, text: str, least: int = 3, most: int = 60, k: int = 40) -> DataFrame:
     """The k most frequent phrases between commas, semicolons and bars (a top-k report)."""
     p = df.select(F.explode(F.split(F.lower(F.col(text)), r"[,;|]")).alias("phrase"), "sentiment").withColumn("phrase", F.trim("phrase"))

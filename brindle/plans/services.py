@@ -10,6 +10,7 @@ from brindle.functions import text as tf
 from brindle.operators import compare, dashboard, golden, imports, listing, mutate, news, quality, report, summary
 from brindle.plans import adapter as ad
 from brindle.plans.catalogue import _NEWS, ASP, BENCH, FORECAST, KEYED, ORACLES, PD, PICKS, RV, SCORED, THEMES, M, N, R, _count_terms, _keyed, _news, query, scored
+from brindle.sources import pages, readers
 
 LANGUAGE = "CASE WHEN len(regexp_extract_all(lower(raw_text), '\\b(mast|bakwas|ekdum|nahi|nahin|hai|bahut|bhai)\\b')) >= 3 THEN 'hinglish' WHEN len(regexp_extract_all(lower(raw_text), '\\b(mast|bakwas|ekdum|nahi|nahin|hai|bahut|bhai)\\b')) >= 1 THEN 'mixed' ELSE 'english' END"
 LABEL = lambda c: f"array_to_string(list_transform(string_split(lower(replace({c}, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
@@ -600,6 +601,87 @@ def sca47_sca49_null_words(spark, sf_dir):
     return d.select("doc_id", tf.first_filled(F.lit(" "), t).alias("first_filled"), tf.null_token(s).alias("source"))
 
 
+CLEANED = rf"""SELECT review_id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason, source, product_id, lower(t) ORDER BY seq, review_id) > 1 THEN 'duplicate' ELSE 'clean' END) AS status FROM (SELECT *, CASE WHEN t = '' THEN 'missing_raw_text' WHEN regexp_full_match(low, 'helpful\s+for\s+\d+') THEN 'helpful_count_only'
+     WHEN metadata THEN 'metadata_only' WHEN junk THEN 'junk_token' WHEN placed THEN 'location_or_address' WHEN t LIKE ',%' OR t LIKE '%District' THEN 'location_like_text' WHEN named THEN 'name_like_text' WHEN (words >= 2 AND opinion) OR words >= 5 THEN NULL WHEN length(t) < 15 THEN 'too_short' WHEN words < 4 AND NOT opinion THEN 'too_few_words' WHEN NOT opinion AND words < 8 THEN 'no_opinion_signal' END AS reason
+     FROM (SELECT *, low LIKE 'review for:%' OR low IN ({", ".join(f"'{x}'" for x in quality.METADATA)}) OR regexp_full_match(t, '[^a-zA-Z]+') OR (words <= 3 AND NOT opinion) AS metadata, NOT opinion AND regexp_full_match(replace(t, ' ', ''), '\p{{L}}+') AND ((words >= 2 AND len(regexp_extract_all(t, '\p{{Lu}}')) > 0.7 * len(regexp_extract_all(t, '\p{{L}}'))) OR (words <= 4 AND regexp_matches(low, 'kumar|kar|singh|rahman|baig|tiwari|mankar'))) AS named
+      FROM (SELECT *, lower(t) AS low, len(string_split(t, ' ')) AS words, regexp_matches(lower(t), '{"|".join(quality.OPINIONS)}') AS opinion, regexp_matches(lower(t), '{"|".join(quality.JUNK)}') AS junk, regexp_matches(lower(t), '{"|".join(quality.PLACES)}') AS placed FROM (SELECT *, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) AS t FROM reviews))))"""
+
+
+# --- feeds, pages and exports ------------------------------------------------------------------
+
+
+@query("SELECT product_id, count(*) FILTER (rating = 1) AS r1, count(*) FILTER (rating = 2) AS r2, count(*) FILTER (rating = 3) AS r3, count(*) FILTER (rating = 4) AS r4, 0::BIGINT AS r5, count(*) FILTER (rating = 5) AS unknown, count(*) AS total FROM reviews GROUP BY product_id", RV)
+def agg25_rating_counts(spark, sf_dir):
+    return summary.rating_counts(ad.reviews(spark, sf_dir).withColumn("rating", F.when(F.col("rating") < 5, F.col("rating").cast("string")).otherwise("n/a")))
+
+
+@query(
+    """SELECT review_id, specific, words, titled, CAST(row_number() OVER (PARTITION BY product_id ORDER BY specific DESC, words DESC, titled DESC, rating DESC, review_id) AS INT) AS place FROM (SELECT review_id, product_id, CAST(regexp_matches(lower(raw_text), 'camera|battery|display|performance|charging|heat|heating|speaker|network|lag|design|price|budget|value') AS INT) AS specific,
+    CASE WHEN raw_text = '' THEN 0 ELSE least(80, len(string_split(raw_text, ' ')))::INT END AS words, 1 AS titled, CAST(CAST(rating AS INT) AS VARCHAR) AS rating FROM reviews) QUALIFY place <= 20""", RV,
+)
+def srt12_feed_quality(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    q = summary.feed_quality(F.regexp_replace("raw_text", " +", " "), F.col("name"), F.col("rating").cast("int"))
+    r = ad.reviews(spark, sf_dir).withColumn("q", q)
+    r = r.withColumn("place", F.row_number().over(W.partitionBy("product_id").orderBy(F.desc("q"), "review_id"))).where("place <= 20")
+    return r.select("review_id", "q.specific", "q.words", "q.titled", "place")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS VARCHAR)[:10] AS launch FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' ORDER BY launch, o_orderkey LIMIT 30")
+def srt14_upcoming(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("launch"))
+    return listing.page(o.where("launch >= '1998-06-01'"), ["launch", "o_orderkey"], 30)
+
+
+@query(
+    rf"""SELECT review_id, CASE WHEN raw_text = '' OR raw_text = 'theek hai' THEN 'Good ' || name ELSE raw_text END AS repaired, junk, hard FROM (SELECT *, raw_text = '' OR regexp_matches(low, '{"|".join(quality.JUNK)}') OR (len(string_split(raw_text, ' ')) <= 3 AND NOT regexp_matches(low, '{"|".join(quality.OPINIONS)}')) AS junk, raw_text = '' AS hard FROM (SELECT *, lower(raw_text) AS low FROM reviews))""", RV,
+)
+def sca40_src16_repair_and_junk(spark, sf_dir):
+    t, title = F.col("raw_text"), F.concat(F.lit("Good "), "name")
+    return ad.reviews(spark, sf_dir).select("review_id", quality.repaired_text(t, title).alias("repaired"), pages.junk(t).alias("junk"), pages.hard_junk(t).alias("hard"))
+
+
+@query(f"SELECT count(*) AS input_count, count(*) FILTER (status = 'clean') AS clean_count, count(*) FILTER (status NOT IN ('clean', 'duplicate')) AS removed_count, count(*) FILTER (status = 'duplicate') AS duplicate_count FROM ({CLEANED})", RV)
+def snk1_agg21_clean_report(spark, sf_dir):
+    return imports.clean_report(_cleaned(spark, sf_dir))[0]
+
+
+@query(f"SELECT status AS reason, count(*) AS n FROM ({CLEANED}) GROUP BY status", RV)
+def agg21_cleaner_counts(spark, sf_dir):
+    return imports.counts_by(_cleaned(spark, sf_dir))
+
+
+def _cleaned(spark, sf_dir):
+    r = ad.reviews(spark, sf_dir).select("review_id", "product_id", F.col("name").alias("product_name"), F.concat(F.lit("http://"), "source").alias("source_url"), "raw_text", F.col("source").alias("marketplace"), F.struct("seq", "review_id").alias("seq"))
+    return quality.clean_reviews(r)
+
+
+@query(
+    """SELECT tab, n FROM (SELECT 'Catalog' AS tab, count(*) AS n FROM products UNION ALL SELECT 'Raw Reviews', count(*) FROM reviews WHERE review_date >= DATE '2001-01-01' AND helpful_votes < 7 UNION ALL SELECT 'Processed Sentiment', count(*) FROM reviews WHERE review_date >= DATE '2001-01-01' AND helpful_votes < 7
+    UNION ALL SELECT 'Daily Summary', count(DISTINCT product_id || review_date) FROM reviews WHERE review_date >= DATE '2001-01-01')""", RV, PD,
+)
+def snk3_spreadsheet_tabs(spark, sf_dir):
+    aspects, raw, processed = _evidence_tables(spark, sf_dir)
+    r = ad.reviews(spark, sf_dir)
+    more = r.select("review_id", "verified_purchase", F.when(F.col("helpful_votes") < 7, "canonical").otherwise("duplicate").alias("duplicate_status"))
+    frames = readers.tabs(raw.join(more, "review_id"), processed.withColumn("primary_language", F.lit("hi_en_mixed")), aspects, ad.products(spark, sf_dir).withColumn("brand", F.col("product_id")), summary.daily_stats(r, r), "2001-01-01")
+    return summary.table_counts(frames).withColumnRenamed("table_name", "tab")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'the selected product is ahead' ELSE 'battery is the main complaint area to validate.' END AS bullet FROM documents WHERE doc_id % 3 > 0")
+def fil13_readable_bullets(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    b = F.when(k == 0, "It has a net sentiment score of 3").when(k == 1, " phone_a is ahead").otherwise("battery: Battery complaint theme.")
+    return listing.readable_bullets(ad.table(spark, sf_dir, "documents").select("doc_id", b.alias("bullet")), names={"phone_a": "the selected product"})
+
+
+@query("SELECT conv_id, ['A', 'b'] AS kept, len(string_split(roles, ',')) AS n FROM (SELECT conv_id, string_agg(role, ',') AS roles FROM conversations GROUP BY conv_id)".replace("['A', 'b']", "'A,b'"))
+def set6_distinct_texts(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").cast("long").alias("n"))
+    return c.select("conv_id", F.array_join(tf.distinct_texts(F.array(F.lit("A"), F.lit("b"), F.lit("a"), F.lit("B"))), ",").alias("kept"), "n")
+
+
 # --- SQL of queries of the catalogue that came without ------------------------------------------
 
 
@@ -635,13 +717,7 @@ _sql(
     """SELECT review_id, CASE WHEN raw_text = '' THEN 'raw_text is empty.' ELSE '' END AS errors, array_to_string(list_filter([CASE WHEN row_number() OVER (PARTITION BY review_id ORDER BY seq) > 1 THEN 'review_id is repeated.' END, CASE WHEN raw_text <> '' AND length(raw_text) < 8 THEN 'raw_text is very short.' END,
     'missing recommended: product_name, source, ' || CASE WHEN raw_text = '' THEN 'raw_text, verified_purchase, helpful_votes' ELSE 'verified_purchase, helpful_votes, brand' END], lambda x: x IS NOT NULL), ';') AS warnings FROM reviews""", RV,
 )
-_sql(
-    "dom20_clean_reviews",
-    rf"""SELECT review_id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason, source, product_id, lower(t) ORDER BY seq, review_id) > 1 THEN 'duplicate' ELSE 'clean' END) AS status FROM (SELECT *, CASE WHEN t = '' THEN 'missing_raw_text' WHEN regexp_full_match(low, 'helpful\s+for\s+\d+') THEN 'helpful_count_only'
-     WHEN metadata THEN 'metadata_only' WHEN junk THEN 'junk_token' WHEN placed THEN 'location_or_address' WHEN t LIKE ',%' OR t LIKE '%District' THEN 'location_like_text' WHEN named THEN 'name_like_text' WHEN (words >= 2 AND opinion) OR words >= 5 THEN NULL WHEN length(t) < 15 THEN 'too_short' WHEN words < 4 AND NOT opinion THEN 'too_few_words' WHEN NOT opinion AND words < 8 THEN 'no_opinion_signal' END AS reason
-     FROM (SELECT *, low LIKE 'review for:%' OR low IN ({", ".join(f"'{x}'" for x in quality.METADATA)}) OR regexp_full_match(t, '[^a-zA-Z]+') OR (words <= 3 AND NOT opinion) AS metadata, NOT opinion AND regexp_full_match(replace(t, ' ', ''), '\p{{L}}+') AND ((words >= 2 AND len(regexp_extract_all(t, '\p{{Lu}}')) > 0.7 * len(regexp_extract_all(t, '\p{{L}}'))) OR (words <= 4 AND regexp_matches(low, 'kumar|kar|singh|rahman|baig|tiwari|mankar'))) AS named
-      FROM (SELECT *, lower(t) AS low, len(string_split(t, ' ')) AS words, regexp_matches(lower(t), '{"|".join(quality.OPINIONS)}') AS opinion, regexp_matches(lower(t), '{"|".join(quality.JUNK)}') AS junk, regexp_matches(lower(t), '{"|".join(quality.PLACES)}') AS placed FROM (SELECT *, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) AS t FROM reviews))))""", RV,
-)
+_sql("dom20_clean_reviews", CLEANED, RV)
 _sql(
     "sca31_sca35_identity",
     """SELECT p_partkey, brand, model_key, brand || '|' || model_key AS canonical_key, brand || '_' || model_key AS product_id, '8gb_ram_256gb_storage' AS variant FROM (SELECT p_partkey, ['tecno', 'infinix', 'redmi', 'samsung', 'iqoo'][p_partkey % 5 + 1] AS brand, ['pova_', 'note_', 'note_', 'galaxy_a', 'z_'][p_partkey % 5 + 1] || p_size || '_5g' AS model_key FROM part)""",

@@ -84,6 +84,30 @@ def page_text(page: str = "html"):
     return F.struct(F.trim(F.regexp_extract(p, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.trim(F.regexp_replace(tf.unescape_basic(body), r"\s+", " ")).alias("body"))
 
 
+def tabs(raw: DataFrame, processed: DataFrame, aspects: DataFrame, products: DataFrame, daily: DataFrame, since: str) -> dict[str, DataFrame]:
+    """The four tabs of a spreadsheet export: catalogue, raw reviews, aspect mentions and the daily summary, from a day on."""
+    p = products.select("product_id", F.col("brand").alias("brand"))
+    recent = raw.where((F.coalesce("duplicate_status", F.lit("canonical")) == "canonical") & (F.col("review_date") >= F.lit(since).cast("date"))).drop("brand").join(p, "product_id", "left")
+    language = processed.select("review_id", F.when(F.col("primary_language") == "hi_en_mixed", "Yes").otherwise("No").alias("is_hinglish"))
+    mentions = aspects.select("review_id", "sentiment", F.col("aspect").alias("main_aspect"), F.col("evidence_span").alias("key_phrase"), "confidence").join(recent, "review_id").join(language, "review_id", "left")
+    shown = lambda df, *columns: df.select(*(tf.shown(F.col(c)).alias(c) for c in columns))
+    head = ("review_date", "product_name", "brand", "source", "rating")
+    return {
+        "Catalog": products, "Raw Reviews": shown(recent.withColumn("verified_purchase", tf.yes_no(F.col("verified_purchase"))), *head, "raw_text", "verified_purchase"),
+        "Processed Sentiment": shown(mentions.withColumn("is_hinglish", F.coalesce("is_hinglish", F.lit("No"))), *head, "sentiment", "main_aspect", "key_phrase", "confidence", "is_hinglish"),
+        "Daily Summary": daily.where(F.col("review_date") >= F.lit(since).cast("date")),
+    }
+
+
+def write_report(rows: DataFrame, counts: DataFrame, examples: DataFrame, folder: str) -> dict:
+    """Kept rows as CSV and a JSON report (one row of counts, a bounded list of examples) under folder; returns the counts."""
+    rows.write.mode("overwrite").csv(f"{folder}/rows", header=True)
+    many = F.struct(*examples.columns)
+    report = counts.join(F.broadcast(examples.agg(F.collect_list(many).alias("examples"))))  # one row each
+    report.coalesce(1).write.mode("overwrite").json(f"{folder}/report")
+    return counts.first().asDict()
+
+
 def export(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """Each frame as CSV under folder; one that fails doesn't stop the others. Returns an error text by name."""
     failed = {}
