@@ -15,7 +15,7 @@ travel, with the words that their windows reach. A false mark, also where more p
 than that bitmap can tell apart, costs the sort of one suffix more and changes nothing. Before suffixes are
 shuffled, each task settles those whose whole reach it has met before itself and passes on only
 the smallest place of each, so a passage that a third of all documents share arrives about once for every
-24 MB of suffixes. Places are ordered by (doc_id, word): the smallest is the original, the rest are copies.
+8 MB of suffixes. Places are ordered by (doc_id, word): the smallest is the original, the rest are copies.
 
 Words are runs of bytes other than space and \\x09-\\x0D with A-Z lower-cased.
 
@@ -42,7 +42,7 @@ WORDS = 50
 MOST = 31  # a bitmap of 256 MB
 HEAD = 2  # bytes before a reach that say how many of its words lie left of the place
 ROW = 32  # places of rows that repeat an id hold the row's number above so many bits
-FLUSH, FLUSH_BYTES = 1 << 20, 3 << 23
+SLICE, FLUSH, FLUSH_BYTES = 1 << 20, 1 << 19, 1 << 23
 FOUND = ["part", "doc", "at", "many", "reach", "reach_size", "stop"]
 U = np.uint64
 
@@ -217,7 +217,7 @@ def _bitmap(spark: SparkSession, scratch: Scratch, docs: DataFrame, words: int,
 
     def keys(batches):
         got, held = [], 0
-        for b in tx.slices(batches, "text"):
+        for b in tx.slices(batches, "text", SLICE):
             got.append(Suffixes(*tx.utf8(b.column("text")), words).key)
             held += len(got[-1])
             if held >= FLUSH:
@@ -279,7 +279,7 @@ def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, key: str = "
     def marked(batches):
         marks = np.frombuffer(sent.value, np.uint8)
         got, held = [], 0
-        for b in tx.slices(batches, "text"):
+        for b in tx.slices(batches, "text", SLICE):
             s = Suffixes(*tx.utf8(b.column("text")), words)
             slot = (s.key >> U(64 - bits)).astype(np.int64)
             on = np.flatnonzero(marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
@@ -293,6 +293,7 @@ def spans(spark: SparkSession, docs: DataFrame, words: int = WORDS, key: str = "
             if held >= FLUSH_BYTES:
                 yield from settle(got)
                 got, held = [], 0
+                tx.trim()
         if got:
             yield from settle(got)
 
