@@ -33,7 +33,7 @@ from brindle.llm.tables import Scratch, connected_components
 
 LIMIT = 0.95
 MISS = 0.002
-BLOCK = 1024
+BLOCK = 128
 SLACK = 6
 U = np.uint64
 
