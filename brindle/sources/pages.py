@@ -126,7 +126,7 @@ def shop_reviews(found: DataFrame, as_of: Column, key: str = "page_id") -> DataF
 
 def listings(found: DataFrame, root: str, source: str, key: str = "page_id") -> DataFrame:
     """Cards with name, price and date to phones; names of under four letters are left out, links made whole."""
-    link = F.when(F.col("link").startswith("http") | (F.col("link") == ""), F.col("link")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.lit("/"), F.col("link"))))
+    link = F.when(F.col("link").startswith("http") | (F.col("link") == ""), F.col("link")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("link", "^/+", "")))
     return found.where(F.char_length("name") >= 4).select(
         key, "place", F.col("name").alias("model_name"), pr.brand_prefix(F.col("name")).alias("brand"), F.col("price").alias("current_price"), pr.price(F.col("price")).alias("current_price_int"), pr.launch_date(F.col("date")).alias("launch_date"),
         link.alias("specs_url"), F.lit(source).alias("source_name"),
