@@ -207,7 +207,8 @@ def _superstep(scratch: Scratch, waiting: DataFrame, gaps: DataFrame, largest: i
         elif not r.gap:
             here += r.n
     runs = meetings(counts)
-    found = spark.createDataFrame(runs, "of long, gaps boolean, low long, high long, first long")
+    kind = "array<struct<of:bigint,gaps:boolean,low:bigint,high:bigint,first:bigint>>"  # as a literal, so that no job is needed
+    found = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("of", "gaps", "low", "high", "first"), r)) for r in runs])), kind)))
     at = (F.col("part") == F.col("of")) & (F.col("gap") == F.col("gaps")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     key = F.when(F.col("gap"), F.col("first") + F.col("rank") - F.col("low")).otherwise(F.col("first") - F.col("rank") + F.col("low"))
     over = done.where("rank >= 0").join(F.broadcast(found), at, "left").withColumn("key", key)  # at most two runs a range
@@ -228,14 +229,15 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, special:
     full = cut.where(F.col("length") == capacity).select(*names, (-1 - F.col("n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     waiting = cut.where(F.col("length") < capacity)
     whole = cut.agg(F.count(F.when(F.col("length") == capacity, 1))).first()[0]
-    gaps = spark.createDataFrame([], "sequence long, room long")
+    gaps = spark.range(0).select(F.col("id").alias("sequence"), F.col("id").alias("room"))
     placed, opened, matched = None, 0, 0
     while True:
-        n, total, least, most = waiting.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length")).first()
+        sizes = waiting.select("length", F.lit(None).cast("long").alias("room")).unionByName(gaps.select(F.lit(None).cast("long").alias("length"), "room"))
+        n, total, least, most, room = sizes.agg(F.count("length"), F.sum("length"), F.min("length"), F.max("length"), F.max("room")).first()
         if not n:
             break
         gaps = gaps.where(F.col("room") >= least)
-        if not matched or gaps.isEmpty():
+        if not matched or (room or 0) < least:
             more, slots = -(-total // capacity), -(-n // (capacity // most))
             more = slots if slots - more <= SPARE * (whole + opened) else more
             gaps = gaps.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("room")))
