@@ -38,9 +38,9 @@ def reviews(rows: DataFrame) -> DataFrame:
     return out.withColumn("error", error).drop("given_id", "rating_text", "votes_text", "date_text")
 
 
-def read_catalogue_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of products; bad JSON gives no rows; rows of comments (keys that begin with _) are left out."""
-    df = spark.read.schema(f"{schema}, _bad string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+def read_catalogue_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON array of products, or a product a line as `write_catalogue_json` has it; bad JSON gives no rows; rows of comments (keys that begin with _) are left out."""
+    df = spark.read.schema(f"{schema}, _bad string").json(path, multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     return df.where("product_id is not null").drop("_bad")
 
 

@@ -100,7 +100,7 @@ def test_jobs(spark, catalogue, tmp_path, capsys):
     assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 2
     assert "bad" in readers.export({"good": catalogue, "bad": catalogue.withColumn("x", F.array(F.lit(1)))}, str(tmp_path / "e")) and (tmp_path / "e" / "good").exists()
     readers.write_catalogue_json(catalogue, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    assert readers.read_catalogue_json(spark, str(tmp_path / "j"), "product_id string, brand string", lines=True).count() == 4
     (tmp_path / "c.json").write_text('[{"product_id": "a"}, {"_comment": "x"}]')
     assert [r.product_id for r in readers.read_catalogue_json(spark, str(tmp_path / "c.json"), "product_id string, brand string").collect()] == ["a"]
 
