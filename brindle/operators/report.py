@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import text as tf
-from brindle.operators.summary import first_by
+from brindle.operators.summary import evidence_top, first_by
 
 
 def kpi_cards(summary: DataFrame, net: DataFrame, by: str = "product_id") -> DataFrame:
@@ -44,11 +46,33 @@ def dominant(positive: Column, negative: Column, neutral: Column) -> Column:
     return F.when((positive > negative) & (positive >= neutral), "positive").when((negative > positive) & (negative >= neutral), "negative").when((neutral > positive) & (neutral > negative), "neutral").when((positive > 0) & (negative > 0), "mixed").otherwise("unclear")
 
 
+def evidence_themes(evidence: DataFrame, rules: dict[str, list[tuple[str, list[str]]]], words: list[str], by: str = "product_id", most: int = 12) -> DataFrame:
+    """(product, aspect, theme, evidence_terms, evidence_examples) of the `most` best pieces of evidence of each aspect.
+
+    rules: of each aspect (theme, words inside the text that tell it), in order of preference; theme is the first that holds, null if none.
+    Terms are up to six: themes by how many of their words are there, then the words of `words` that are.
+    """
+    top = evidence_top(evidence, most, by, "aspect")
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("place", F.trim(F.coalesce("evidence", F.lit(""))).alias("t")))), lambda x: x["t"])  # `most` at most
+    g = top.groupBy(by, "aspect").agg(F.filter(spans, lambda t: t != "").alias("spans"))
+    g = g.withColumn("t", F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.array_join("spans", " ")), r"[^a-z0-9\u0900-\u097f ._-]+", " "), r"\s+", " ")))
+    kind = "array<struct<aspect:string,n:int,theme:string,triggers:array<string>>>"
+    told = F.from_json(F.lit(json.dumps([{"aspect": a, "n": n, "theme": label, "triggers": ws} for a, rs in rules.items() for n, (label, ws) in enumerate(rs)])), kind)
+    hits = F.transform(F.filter(told, lambda r: r["aspect"] == F.col("aspect")), lambda r: F.struct((-F.size(F.filter(r["triggers"], lambda w: F.contains(F.col("t"), F.lower(w))))).alias("k"), r["n"].alias("n"), r["theme"].alias("theme")))
+    g = g.withColumn("hits", F.filter(hits, lambda h: h["k"] < 0))
+    first = F.try_element_at(F.array_sort(F.transform("hits", lambda h: F.struct(h["n"], h["theme"].alias("theme")))), F.lit(1))["theme"]
+    terms = F.concat(F.transform(F.array_sort("hits"), lambda h: h["theme"]), F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("t"), w)))
+    return g.select(by, "aspect", first.alias("theme"), F.slice(F.array_distinct(terms), 1, 6).alias("evidence_terms"), F.slice("spans", 1, 3).alias("evidence_examples"))
+
+
 def reason_cards(aspects: DataFrame, themes: dict[str, str] | None = None) -> DataFrame:
-    """Adds reaction, one_liner and confidence_label to aspect summaries. themes: what an aspect is called in words."""
+    """Adds reaction, one_liner and confidence_label to aspect summaries. themes: what an aspect is called in words.
+
+    Where there is a column theme (of `evidence_themes`), it is what the line speaks of.
+    """
     names = F.create_map(*(F.lit(x) for kv in (themes or {"": ""}).items() for x in kv))
     label = tf.labelize(F.col("aspect"))
-    theme = F.coalesce(F.try_element_at(names, F.col("aspect")), F.lower(label))
+    theme = F.coalesce(*([F.col("theme")] if "theme" in aspects.columns else []), F.try_element_at(names, F.col("aspect")), F.lower(label))
     d = dominant(F.col("positive_count"), F.col("negative_count"), F.col("neutral_count"))
     say = lambda a, b="": F.concat(F.lit(a), theme, F.lit(b))
     line = F.when(d == "positive", say("Users mostly like ", ".")).when(d == "negative", say("Users mostly complain about ", ".")).when(d == "mixed", say("Users are split on ", ".")).when(d == "neutral", say("Users mention ", ", but sentiment is mostly neutral."))
@@ -67,14 +91,15 @@ def benchmark_summary(b: DataFrame) -> DataFrame:
     """One row in words over a benchmark: who leads where, and where evidence is missing."""
     gapless = F.contains("confidence_label", F.lit("insufficient"))
     pick = lambda c: F.array_sort(F.collect_list(F.when(c, tf.labelize(F.col("aspect")))))  # noqa: E731  a benchmark has a row per aspect
-    s = b.agg(pick(~gapless & (F.col("gap") > 0)).alias("own"), pick(~gapless & (F.col("gap") < 0)).alias("other"), pick(gapless).alias("missing"))
+    s = b.agg(F.count("*").alias("n"), pick(~gapless & (F.col("gap") > 0)).alias("own"), pick(~gapless & (F.col("gap") < 0)).alias("other"), pick(gapless).alias("missing"))
     some = lambda c: F.size(c) > 0
+    none = F.col("n") == 0
     heads = F.array_compact(F.array(F.when(some("own"), F.concat(F.lit("users prefer the selected product for "), phrase(F.col("own")))), F.when(some("other"), F.concat(F.lit("users prefer the competitor for "), phrase(F.col("other")))), F.when(some("missing"), F.concat(phrase(F.col("missing")), F.lit(" need more comparable evidence")))))
     return s.select(
-        F.when(some(heads), F.concat(F.lit("Benchmark indicates that "), F.array_join(heads, "; "), F.lit("."))).otherwise("Benchmark evidence is still thin.").alias("headline"),
-        F.when(some("own"), F.concat(F.lit("Users appear to prefer the selected product for "), phrase(F.col("own")), F.lit("."))).otherwise("No clear selected-product preference is visible yet.").alias("selected_product_summary"),
-        F.when(some("other"), F.concat(F.lit("Users appear to prefer the competitor for "), phrase(F.col("other")), F.lit("."))).otherwise("No clear competitor preference is visible yet.").alias("competitor_summary"),
-        F.when(some("missing"), F.concat(phrase(F.col("missing")), F.lit(" have evidence gaps, so they should not be read as confirmed wins or losses."))).otherwise("Read this benchmark as directional until more comparable reviews are available.").alias("risk_summary"),
+        F.when(none, "No comparable benchmark evidence is available yet.").when(some(heads), F.concat(F.lit("Benchmark indicates that "), F.array_join(heads, "; "), F.lit("."))).otherwise("Benchmark evidence is still thin.").alias("headline"),
+        F.when(none, "Selected product comparison needs more review evidence.").when(some("own"), F.concat(F.lit("Users appear to prefer the selected product for "), phrase(F.col("own")), F.lit("."))).otherwise("No clear selected-product preference is visible yet.").alias("selected_product_summary"),
+        F.when(none, "Competitor comparison needs more review evidence.").when(some("other"), F.concat(F.lit("Users appear to prefer the competitor for "), phrase(F.col("other")), F.lit("."))).otherwise("No clear competitor preference is visible yet.").alias("competitor_summary"),
+        F.when(none, "Import more comparable reviews before reading this benchmark.").when(some("missing"), F.concat(phrase(F.col("missing")), F.lit(" have evidence gaps, so they should not be read as confirmed wins or losses."))).otherwise("Read this benchmark as directional until more comparable reviews are available.").alias("risk_summary"),
     )
 
 

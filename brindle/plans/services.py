@@ -9,7 +9,7 @@ from brindle.functions import scores as sc
 from brindle.functions import text as tf
 from brindle.operators import compare, dashboard, golden, imports, listing, mutate, news, quality, report, summary
 from brindle.plans import adapter as ad
-from brindle.plans.catalogue import _NEWS, ASP, BENCH, FORECAST, KEYED, ORACLES, PD, PICKS, RV, SCORED, THEMES, M, N, R, _count_terms, _keyed, _news, query, scored
+from brindle.plans.catalogue import _NEWS, ASP, BENCH, CARD, FORECAST, KEYED, ORACLES, PD, PICKS, RV, SCORED, THEMES, M, N, R, _count_terms, _keyed, _news, query, scored
 from brindle.sources import pages, readers
 
 LANGUAGE = "CASE WHEN len(regexp_extract_all(lower(raw_text), '\\b(mast|bakwas|ekdum|nahi|nahin|hai|bahut|bhai)\\b')) >= 3 THEN 'hinglish' WHEN len(regexp_extract_all(lower(raw_text), '\\b(mast|bakwas|ekdum|nahi|nahin|hai|bahut|bhai)\\b')) >= 1 THEN 'mixed' ELSE 'english' END"
@@ -682,6 +682,21 @@ def set6_distinct_texts(spark, sf_dir):
     return c.select("conv_id", F.array_join(tf.distinct_texts(F.array(F.lit("A"), F.lit("b"), F.lit("a"), F.lit("B"))), ",").alias("kept"), "n")
 
 
+REASONS = {"ECONOMY": [("battery life", ["battery backup", "drain"]), ("camera quality", ["camera", "selfie"])], "STANDARD": [("display brightness", ["bright"]), ("heat", ["garam", "tawa", "heat"])]}
+
+
+@query(
+    f"""SELECT product_id, aspect, theme, reaction, CASE reaction WHEN 'positive' THEN 'Users mostly like ' || said || '.' WHEN 'negative' THEN 'Users mostly complain about ' || said || '.' WHEN 'mixed' THEN 'Users are split on ' || said || '.' WHEN 'neutral' THEN 'Users mention ' || said || ', but sentiment is mostly neutral.'
+      ELSE CASE WHEN mentions <= 1 THEN {LABEL("aspect")} || ' has only one clear mention so far.' ELSE 'Users mention ' || said || ', but the sentiment direction is not clear yet.' END END AS one_liner FROM (SELECT *, coalesce(theme, lower(aspect)) AS said, {CARD} AS reaction FROM asp JOIN (SELECT product_id, aspect, CASE
+      {" ".join(f"WHEN aspect = '{a}' AND ({' OR '.join(f"contains(t, '{w}')" for w in ws)}) THEN '{label}'" for a, rules in REASONS.items() for label, ws in rules)} END AS theme
+      FROM (SELECT product_id, aspect, string_agg(lower(raw_text), ' ') AS t FROM (SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY product_id, aspect ORDER BY intensity DESC, confidence DESC, review_date DESC, review_id, aspect) <= 12) GROUP BY product_id, aspect)) USING (product_id, aspect))""", RV, ASP,
+)
+def dom10_reason_themes(spark, sf_dir):
+    r = ad.reviews(spark, sf_dir).withColumn("evidence", F.col("raw_text"))
+    a = summary.aspect_summary(r).join(report.evidence_themes(r, REASONS, ["good", "mast", "slow"]), ["product_id", "aspect"])
+    return report.reason_cards(a).select("product_id", "aspect", "theme", "reaction", "one_liner")
+
+
 # --- SQL of queries of the catalogue that came without ------------------------------------------
 
 
