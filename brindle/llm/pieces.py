@@ -3,10 +3,11 @@
 Where no piece of the vocabulary crosses from another character to the whitespace marker
 (checked when the model is loaded), a text falls into chunks of spaces followed by other
 characters, and chunks never affect each other. Texts are split into chunks slice by slice and written as
-codes of the slice's distinct chunks; the distinct chunks of all slices become one table, in which the library segments
-and decodes each chunk once in the whole corpus; ids and decoded chunks are joined back to the slices that
-have them, and each text's ids are put together by position. A slice has a chunk once however often it
-occurs, so no chunk holds more rows than there are slices; memory is that of a slice of SLICE bytes, or of its longest text.
+codes of the slice's distinct chunks. The distinct chunks of all slices are dealt out by hash and make one table, part by part, in which the library segments
+and decodes each chunk once in the whole corpus; the ids go back to the slices that
+asked, in the order of their codes, and each text's ids are put together by position. Chunks and ids travel as sorted, compressed
+lists, one for each slice and part, and a decoded text only where it differs from its chunk. A slice asks for a chunk once however often it
+occurs, so a frequent chunk weighs no more than there are slices; memory is that of a slice of SLICE bytes or of its longest text, or of a part of the table.
 
 Nulls and edges: null counts as empty text; an empty text has the begin and end ids alone and
 decodes to empty text; keys of any type, also null; rows repeat as often as the input has them; an empty table gives an empty result; other columns play no part.
@@ -21,12 +22,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.llm import text as tx
 from brindle.llm.neardup import runs
@@ -90,58 +93,96 @@ def segmenter(path: str) -> Segmenter:
     return Segmenter(path)
 
 
+def packed(texts: pa.Array) -> bytes:
+    """A list of texts or bytes as one compressed value."""
+    raw, off = tx.raw_bytes(texts.cast(pa.large_binary()))
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(texts)], np.int64).tobytes() + np.diff(off).astype(np.uint32).tobytes() + raw.tobytes())
+
+
+def unpacked(value: bytes) -> pa.LargeBinaryArray:
+    data = zstandard.ZstdDecompressor().decompress(value)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    off = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint32, n, 8), dtype=np.int64)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off), pa.py_buffer(data[8 + 4 * n :])])
+
+
+def dealt(distinct: list[str], codes: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[bytes]]:
+    """(codes in the order of parts and texts, parts, the chunks of each part in that order)."""
+    chunks = pa.array(distinct, pa.large_string())
+    raw, off = tx.raw_bytes(chunks.cast(pa.large_binary()))
+    part = (tx.mix(tx.word_hashes(raw, off[:-1], off[1:]) + np.diff(off).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    rank = np.empty(len(part), np.int64)
+    rank[pc.sort_indices(chunks).to_numpy()] = np.arange(len(part))
+    order = np.lexsort((rank, part))
+    new = np.empty(len(part), np.int32)
+    new[order] = np.arange(len(part))
+    part, chunks = part[order], chunks.take(pa.array(order))
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    return new[codes], part[cut[:-1]].tolist(), [packed(chunks.slice(x, z - x)) for x, z in zip(cut, cut[1:])]
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str, key: str, text: str, schema: str, arrays) -> DataFrame:
     """(key, ...) of every row: the columns that `arrays` makes of [(ids with begin and end as little-endian bytes, decoded text)]; schema names them."""
     scratch = Scratch(spark, "pieces")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType
+    parts = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def code(batches):
-        part, n = TaskContext.get().partitionId(), 0
+        task, n = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=1)
         for b in tx.slices(batches, "t", SLICE):
             distinct, codes, at = split([x or "" for x in b.column("t").to_pylist()])
-            lists = [pa.array([v], pa.list_(t)) for v, t in ((b.column("k").to_pylist(), b.schema.field("k").type), (distinct, pa.string()))]
+            codes, of, chunks = dealt(distinct, codes, parts)
+            lists = [pa.array([b.column("k").to_pylist()], pa.list_(b.schema.field("k").type)), pa.array([of], pa.list_(pa.int32())), pa.array([chunks], pa.list_(pa.binary()))]
             raw = [pa.array([pack.compress(x.tobytes())], pa.binary()) for x in (codes, at)]
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), lists[0], *raw, lists[1]], ["slice", "keys", "codes", "ends", "chunks"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), *raw, *lists], ["slice", "codes", "ends", "keys", "parts", "chunks"])
             n += 1
 
-    fields = [T.StructField("slice", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("codes", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("chunks", T.ArrayType(T.StringType()))]
+    fields = [T.StructField("slice", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("chunks", T.ArrayType(T.BinaryType()))]
     coded = scratch.save(rows.mapInArrow(code, T.StructType(fields)), "coded")
+    asked = coded.select("slice", F.explode(F.arrays_zip("parts", "chunks")).alias("x")).select("slice", F.col("x.parts").alias("part"), F.col("x.chunks").alias("chunks"))
 
     def segment(batches):
         s = segmenter(path)
-        for b in batches:
-            made = list(s(b.column("chunk").to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made)) or [[]] * 3, (pa.string(), pa.binary(), pa.string()))], ["chunk", "ids", "decoded"])
-
-    distinct = coded.select(F.explode("chunks").alias("chunk")).distinct()
-    known = scratch.save(distinct.mapInArrow(segment, "chunk string, ids binary, decoded string"), "chunks")
-    asked = coded.select("slice", F.posexplode("chunks").alias("code", "chunk")).join(known, "chunk").select("slice", "code", "ids", "decoded")
-    slices = coded.select("slice", F.lit(-1).alias("code"), "keys", "codes", "ends")
-    both = slices.unionByName(asked, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "code")
+        for g in runs(batches, ["part"]):
+            lists = [unpacked(c).cast(pa.large_string()) for c in g.column("chunks").to_pylist()]
+            table = pa.concat_arrays(lists).dictionary_encode()
+            chunks = table.dictionary.to_pylist()
+            known = {c: (i, d) for c, i, d in s(chunks)}
+            ids = pa.array([known[c][0] for c in chunks], pa.large_binary())
+            decoded = pa.array([known[c][1] for c in chunks], pa.large_string())
+            odd = np.array([known[c][1] != " " + c for c in chunks], bool)
+            at = 0
+            for of, asked_ in zip(g.column("slice").to_pylist(), lists):
+                code = table.indices.slice(at, len(asked_)).to_numpy()
+                at += len(asked_)
+                strange = np.flatnonzero(odd[code])
+                cols = [pa.array([of], pa.int64()), g.column("part")[:1].combine_chunks(), pa.array([packed(ids.take(pa.array(code)))], pa.binary()), pa.array([strange.astype(np.int32).tobytes()], pa.binary()), pa.array([packed(decoded.take(pa.array(code[strange])))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["slice", "part", "ids", "odd", "decoded"])
+
+    known = asked.repartition("part").sortWithinPartitions("part").mapInArrow(segment, "slice long, part int, ids binary, odd binary, decoded binary")
+    slices = coded.select("slice", F.lit(-1).alias("part"), "codes", "ends", "keys", "chunks")
+    both = slices.unionByName(known, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "part")
+    struct = T.StructType.fromDDL(schema)
+    names, key_type = [key, *struct.names], to_arrow_type(kind)
 
     def join(batches):
         s, unpack = segmenter(path), zstandard.ZstdDecompressor()
         for g in runs(batches, ["slice"]):
-            keys = g.column("keys")[0].as_py()
             codes, at = (np.frombuffer(unpack.decompress(g.column(c)[0].as_py()), t) for c, t in (("codes", np.int32), ("ends", np.int64)))
-            ids, decoded = g.column("ids").to_pylist()[1:], g.column("decoded").to_pylist()[1:]
-            texts = (("".join([decoded[c] for c in codes[a:z].tolist()])[1:]) for a, z in zip(at[:-1].tolist(), at[1:].tolist()))
+            ids, decoded = [], []
+            for chunks, i, odd, d in zip(g.column("chunks")[0].as_py(), *(g.column(c).to_pylist()[1:] for c in ("ids", "odd", "decoded"))):
+                ids += unpacked(i).to_pylist()
+                own = [" " + c for c in unpacked(chunks).cast(pa.large_string()).to_pylist()]
+                for k, other in zip(np.frombuffer(odd, np.int32).tolist(), unpacked(d).cast(pa.large_string()).to_pylist()):
+                    own[k] = other
+                decoded += own
+            texts = ("".join([decoded[c] for c in codes[a:z].tolist()])[1:] for a, z in zip(at[:-1].tolist(), at[1:].tolist()))
             made = [(s.begin + i + s.end, d) for i, d in zip(tx.gathered(codes, at, ids), texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b_type), *arrays(made)], names)
-
-    names = [f.name for f in T.StructType.fromDDL(f"k int, {schema}").fields]
-    names[0] = key
-    out = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL(schema).fields])
-    b_type = pa.field("k", _arrow(kind)).type
-    return both.mapInArrow(join, out)
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([pa.array(g.column("keys")[0].as_py(), key_type), *arrays(made)], names)
 
-    return to_arrow_type(kind)
+    return both.mapInArrow(join, T.StructType([T.StructField(key, kind), *struct.fields]))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
