@@ -87,6 +87,25 @@ def visible(rows: DataFrame, hidden: list[str], words: list[str], allowed: list[
     return page(shown, [F.desc("own_brand"), "brand", "product_name", "product_id"])
 
 
+def recent(rows: DataFrame, as_of: str, days: int, date: str = "review_date") -> DataFrame:
+    """Rows of the last days up to a day, both included; rows without a date don't count."""
+    end = F.lit(as_of).cast("date")
+    return rows.where((F.col(date) >= F.date_sub(end, days)) & (F.col(date) <= end))
+
+
+def capped(rows: DataFrame, most: int, by: str, *order) -> DataFrame:
+    """The first `most` rows of each group."""
+    return rows.withColumn("__k", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("__k") <= most).drop("__k")
+
+
+def within(rows: DataFrame, **bounds: tuple) -> DataFrame:
+    """Rows whose values lie between the bounds given (None is open); a value that is missing is let through."""
+    for c, (low, high) in bounds.items():
+        for ok in ([F.col(c) >= low] if low is not None else []) + ([F.col(c) <= high] if high is not None else []):
+            rows = rows.where(F.col(c).isNull() | ok)
+    return rows
+
+
 def lookup(rows: DataFrame, key: str, value, active: str | None = None) -> DataFrame:
     """The row of a key: none for an unknown one, nor for one that is marked inactive."""
     found = rows.where(F.col(key) == F.lit(value))

@@ -100,6 +100,18 @@ def edges(products: DataFrame, column: str = "competitor_product_ids", key: str
     return e.where((F.col("competitor_id") != "") & (F.col("competitor_id") != F.col(key))).distinct()
 
 
+def unknown(rows: DataFrame, known: DataFrame, key: str, known_key: str | None = None) -> DataFrame:
+    """The rows whose key is not known; a null key is unknown."""
+    ids = known.select(F.col(known_key or key).alias("__known"))
+    return rows.join(ids, F.col(key) == F.col("__known"), "left_anti")
+
+
+def with_seen(rows: DataFrame, known: DataFrame, key: str, known_key: str | None = None) -> DataFrame:
+    """Adds seen: whether the key is known."""
+    ids = known.select(F.col(known_key or key).alias(key)).distinct().withColumn("seen", F.lit(True))
+    return rows.join(ids, key, "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+
+
 def balanced(rows: DataFrame, quotas: dict[str, int], most: int, quality: list, product: str = "product_id", rating: str = "rating") -> DataFrame:
     """Up to a quota of each rating per product, best first, then filled up to `most` from what is left.
 

@@ -152,6 +152,33 @@ def rating_counts(reviews: DataFrame, by: str = "product_id") -> DataFrame:
 FEED_WORDS = ["camera", "battery", "display", "performance", "charging", "heat", "heating", "speaker", "network", "lag", "design", "price", "budget", "value"]
 
 
+def duplicate_counts(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """How many rows are the first of their key and how many repeat it, and of how many keys."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    status = rows.select(key, F.when(nth == 1, "first").otherwise("repeat").alias("status"))
+    return status.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct(key).alias("sources"))
+
+
+def competitor_lists(edges: DataFrame, by: str = "product_id") -> DataFrame:
+    """The competitors of each product as a text; a product has as many as its record lists."""
+    return edges.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("competitor_id")), ", ").alias("competitors"))
+
+
+def scrape_stats(rows: DataFrame, day: str, date: str = "review_date") -> DataFrame:
+    return rows.groupBy("source").agg(F.count("*").alias("total"), _n(F.col(date) == F.lit(day).cast("date")).alias("today"))
+
+
+def sentiment_share(facts: DataFrame, by: str = "product_id") -> DataFrame:
+    """Of each sentiment its share of a product's mentions in whole percent, half up."""
+    c = facts.groupBy(by, "sentiment").agg(F.count("*").alias("n"))
+    return c.select(by, "sentiment", F.floor(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(by)) + 0.5).alias("pct"))
+
+
+def source_totals(rows: DataFrame, by: str = "product_id") -> DataFrame:
+    """Rows by product and source, by product, and in all."""
+    return rows.rollup(by, "source").agg(F.count("*").alias("n"))
+
+
 def feed_quality(text: Column, title: Column, rating: Column) -> Column:
     """struct(specific, words, titled, rating) by which a feed prefers rows, the largest first."""
     from brindle.functions.text import has_any

@@ -13,7 +13,7 @@ from brindle.functions import identity as idn
 from brindle.functions import parse as pr
 from brindle.functions import scores as sc
 from brindle.functions import text as tf
-from brindle.operators import compare, mutate, news, quality, report, resolve, summary
+from brindle.operators import compare, listing, mutate, news, quality, report, resolve, summary
 from brindle.plans import adapter as ad
 from brindle.sources import readers
 
@@ -127,8 +127,7 @@ def agg8_provider_quality(spark, sf_dir):
 @query("SELECT status, count(*) AS n, count(DISTINCT source_key) AS sources FROM (SELECT source_key, CASE WHEN row_number() OVER (PARTITION BY source_key ORDER BY seq, review_id) = 1 THEN 'first' ELSE 'repeat' END AS status FROM reviews) GROUP BY status", RV)
 def agg9_duplicate_summary(spark, sf_dir):
     r = ad.reviews(spark, sf_dir).select("source_key", "seq", "review_id")
-    nth = F.row_number().over(W.partitionBy("source_key").orderBy("seq", "review_id"))
-    return r.select("source_key", F.when(nth == 1, "first").otherwise("repeat").alias("status")).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("source_key").alias("sources"))
+    return summary.duplicate_counts(r, "source_key", "seq", "review_id")
 
 
 _TABLES = ["customer", "documents", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
@@ -159,14 +158,12 @@ def agg15_agg16_win2_joi20_daily_stats(spark, sf_dir):
 
 @query("SELECT product_id, string_agg(competitor_id, ', ' ORDER BY competitor_id) AS competitors FROM edges GROUP BY product_id", PD, "edges AS (SELECT DISTINCT product_id, trim(c) AS competitor_id FROM (SELECT product_id, unnest(string_split(replace(competitor_product_ids, ';', ','), ',')) AS c FROM products) WHERE trim(c) <> '' AND trim(c) <> product_id)")
 def agg17_src5_competitor_lists(spark, sf_dir):
-    e = mutate.edges(ad.products(spark, sf_dir))
-    return e.groupBy("product_id").agg(F.array_join(F.array_sort(F.collect_list("competitor_id")), ", ").alias("competitors"))
+    return summary.competitor_lists(mutate.edges(ad.products(spark, sf_dir)))
 
 
 @query("SELECT source, count(*) AS total, count(CASE WHEN review_date = DATE '1998-06-01' THEN 1 END) AS today FROM reviews GROUP BY source", RV)
 def agg19_scrape_stats(spark, sf_dir):
-    r = ad.reviews(spark, sf_dir)
-    return r.groupBy("source").agg(F.count("*").alias("total"), F.count(F.when(F.col("review_date") == F.lit("1998-06-01").cast("date"), 1)).alias("today"))
+    return summary.scrape_stats(ad.reviews(spark, sf_dir), "1998-06-01")
 
 
 @query(
@@ -189,13 +186,12 @@ def agg26_phrases(spark, sf_dir):
 
 @query("SELECT product_id, sentiment, CAST(floor(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY product_id) + 0.5) AS BIGINT) AS pct FROM (SELECT product_id, sentiment, count(*) AS n FROM reviews GROUP BY ALL)", RV)
 def agg27_sentiment_share(spark, sf_dir):
-    c = ad.reviews(spark, sf_dir).groupBy("product_id", "sentiment").agg(F.count("*").alias("n"))
-    return c.select("product_id", "sentiment", F.floor(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy("product_id")) + 0.5).alias("pct"))
+    return summary.sentiment_share(ad.reviews(spark, sf_dir))
 
 
 @query("SELECT product_id, source, count(*) AS n FROM reviews GROUP BY ROLLUP (product_id, source)", RV)
 def agg29_source_totals(spark, sf_dir):
-    return ad.reviews(spark, sf_dir).rollup("product_id", "source").agg(F.count("*").alias("n"))
+    return summary.source_totals(ad.reviews(spark, sf_dir))
 
 
 @query(
@@ -221,14 +217,12 @@ def fil1_fil2_period(spark, sf_dir):
 @query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%widget%' OR lower(p_type) LIKE '%widget%' OR lower(p_brand) LIKE '%widget%'")
 def fil4_lexicon_search(spark, sf_dir):
     p = ad.table(spark, sf_dir, "part")
-    return p.where(F.ilike("p_name", F.lit("%widget%")) | F.ilike("p_type", F.lit("%widget%")) | F.ilike("p_brand", F.lit("%widget%"))).select("p_partkey", "p_name")
+    return listing.search(p, "widget", "p_name", "p_type", "p_brand").select("p_partkey", "p_name")
 
 
 @query("SELECT product_id, count(*) AS n FROM reviews WHERE review_date >= DATE '2001-06-01' - INTERVAL 90 DAY AND review_date <= DATE '2001-06-01' GROUP BY product_id", RV)
 def fil6_fil7_recency(spark, sf_dir):
-    as_of = F.lit("2001-06-01").cast("date")
-    r = ad.reviews(spark, sf_dir)
-    return r.where((F.col("review_date") >= F.date_sub(as_of, 90)) & (F.col("review_date") <= as_of)).groupBy("product_id").agg(F.count("*").alias("n"))
+    return listing.recent(ad.reviews(spark, sf_dir), "2001-06-01", 90).groupBy("product_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT product_id, product_name, own_brand, row_number() OVER (ORDER BY own_brand DESC, product_name, product_id) AS place FROM products WHERE NOT contains(product_name, 'demo')", PD)
@@ -239,8 +233,7 @@ def fil8_fil9_srt10_products(spark, sf_dir):
 
 @query("SELECT p_partkey FROM part WHERE (p_retailprice IS NULL OR p_retailprice BETWEEN 920 AND 960) AND (p_size IS NULL OR p_size >= 10)")
 def fil10_price_band(spark, sf_dir):
-    p = ad.table(spark, sf_dir, "part")
-    return p.where((F.col("p_retailprice").isNull() | F.col("p_retailprice").between(920, 960)) & (F.col("p_size").isNull() | (F.col("p_size") >= 10))).select("p_partkey")
+    return listing.within(ad.table(spark, sf_dir, "part"), p_retailprice=(920, 960), p_size=(10, None)).select("p_partkey")
 
 
 @query("SELECT page_id, host IN ('example.com', 'example.org') OR host LIKE '%.example.com' OR host LIKE '%.example.org' AS trusted FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages)")
@@ -330,31 +323,6 @@ def joi8_merge_entities(spark, sf_dir):
     return mutate.merge_entities(c, s, "k", ["flag"])
 
 
-LABELS = "e AS (SELECT doc_id AS c, 'quality' AS a, CAST(quality AS VARCHAR) AS l FROM labels WHERE doc_id % 7 <> 0), p AS (SELECT doc_id AS c, 'quality' AS a, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS VARCHAR) AS l FROM labels WHERE doc_id % 11 <> 0), m AS (SELECT coalesce(e.c, p.c) AS c, CASE WHEN p.l IS NULL THEN 'missed' WHEN e.l IS NULL THEN 'extra' WHEN e.l = p.l THEN 'exact' ELSE 'matched' END AS o FROM e FULL JOIN p ON e.c = p.c AND e.a = p.a)"
-
-
-def _labels(spark, sf_dir):
-    t = ad.table(spark, sf_dir, "labels")
-    e = t.where("doc_id % 7 <> 0").select("doc_id", F.lit("quality").alias("aspect"), F.col("quality").cast("string").alias("label"))
-    p = t.where("doc_id % 11 <> 0").select("doc_id", F.lit("quality").alias("aspect"), F.when(F.col("doc_id") % 5 == 0, "0").otherwise("1").alias("label"))
-    return compare.label_match(e, p, "doc_id", "aspect")
-
-
-@query("SELECT c AS doc_id, o AS outcome FROM m", LABELS)
-def joi9_set1_set2_label_match(spark, sf_dir):
-    return _labels(spark, sf_dir).select("doc_id", "outcome")
-
-
-@query(
-    f"""SELECT cases, expected, predicted, matched, {R("matched / CAST(expected AS DOUBLE)", 3)} AS recall, {R("exact / CAST(matched AS DOUBLE)", 3)} AS sentiment_accuracy, {R("(predicted - matched) / CAST(predicted AS DOUBLE)", 3)} AS over_extraction, {R("passed / CAST(cases AS DOUBLE)", 3)} AS exact_pass_rate
-    FROM (SELECT count(*) AS cases, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(mm) AS BIGINT) AS matched, sum(x) AS exact, count(CASE WHEN e = x AND p = e THEN 1 END) AS passed
-      FROM (SELECT c, {N("o IN ('missed', 'matched', 'exact')")} AS e, {N("o IN ('extra', 'matched', 'exact')")} AS p, {N("o IN ('matched', 'exact')")} AS mm, {N("o = 'exact'")} AS x FROM m GROUP BY c))""", LABELS,
-)
-def agg22_dom18_label_report(spark, sf_dir):
-    return compare.label_report(_labels(spark, sf_dir), "doc_id")
-
-
-# The same over all labels: what is missed and extra follows from the values of columns
 LABELS_ALL = "e AS (SELECT doc_id AS c, 'quality' AS a, CAST(quality AS VARCHAR) AS l FROM labels), p AS (SELECT doc_id AS c, CASE WHEN toxic = 1 THEN 'toxicity' ELSE 'quality' END AS a, '1' AS l FROM labels), m AS (SELECT coalesce(e.c, p.c) AS c, CASE WHEN p.l IS NULL THEN 'missed' WHEN e.l IS NULL THEN 'extra' WHEN e.l = p.l THEN 'exact' ELSE 'matched' END AS o FROM e FULL JOIN p ON e.c = p.c AND e.a = p.a)"
 
 
@@ -370,7 +338,11 @@ def joi9_set1_set2_label_match_all(spark, sf_dir):
     return _labels_all(spark, sf_dir).select("doc_id", "outcome")
 
 
-@query(ORACLES["agg22_dom18_label_report"].removeprefix(f"WITH {LABELS} "), LABELS_ALL)
+@query(
+    f"""SELECT cases, expected, predicted, matched, {R("matched / CAST(expected AS DOUBLE)", 3)} AS recall, {R("exact / CAST(matched AS DOUBLE)", 3)} AS sentiment_accuracy, {R("(predicted - matched) / CAST(predicted AS DOUBLE)", 3)} AS over_extraction, {R("passed / CAST(cases AS DOUBLE)", 3)} AS exact_pass_rate
+    FROM (SELECT count(*) AS cases, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(mm) AS BIGINT) AS matched, sum(x) AS exact, count(CASE WHEN e = x AND p = e THEN 1 END) AS passed
+      FROM (SELECT c, {N("o IN ('missed', 'matched', 'exact')")} AS e, {N("o IN ('extra', 'matched', 'exact')")} AS p, {N("o IN ('matched', 'exact')")} AS mm, {N("o = 'exact'")} AS x FROM m GROUP BY c))""", LABELS_ALL,
+)
 def agg22_dom18_label_report_all(spark, sf_dir):
     return compare.label_report(_labels_all(spark, sf_dir), "doc_id")
 
@@ -382,14 +354,12 @@ def joi10_win1_latest(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def joi11_joi12_anti(spark, sf_dir):
-    c, o = ad.table(spark, sf_dir, "customer"), ad.table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return mutate.unknown(ad.table(spark, sf_dir, "customer").select("c_custkey"), ad.table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
 
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS seen FROM customer")
 def joi13_seen(spark, sf_dir):
-    o = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("seen", F.lit(True))
-    return ad.table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return mutate.with_seen(ad.table(spark, sf_dir, "customer").select("c_custkey"), ad.table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
 
 
 FORECAST = f"""fc AS (SELECT product_id, aspect, {N("review_date >= DATE '1998-01-01'")} AS current_mentions, {N("review_date < DATE '1998-01-01'")} AS previous_mentions,
@@ -428,7 +398,7 @@ def dom7_srt3_themes(spark, sf_dir):
 @query("SELECT review_id, product_id FROM reviews QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seq, review_id) <= 40", RV)
 def win3_cap_per_product(spark, sf_dir):
     r = ad.reviews(spark, sf_dir).select("review_id", "product_id", "seq")
-    return r.withColumn("k", F.row_number().over(W.partitionBy("product_id").orderBy("seq", "review_id"))).where("k <= 40").select("review_id", "product_id")
+    return listing.capped(r, 40, "product_id", "seq", "review_id").select("review_id", "product_id")
 
 
 _QUOTAS = {"5": 84, "4": 60, "3": 36, "2": 24, "1": 36}
@@ -521,23 +491,7 @@ def joi14_ups2_ingest(spark, sf_dir):
     return mutate.ingest(k).select("review_id", "status", "canonical_id")
 
 
-@query("SELECT coalesce(i.k, s.k) AS k, coalesce(i.n, s.n) AS name, coalesce(i.b, s.b) AS balance FROM (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS b FROM supplier) s FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS n, c_acctbal AS b FROM customer WHERE c_custkey < 150) i ON s.k = i.k")
-def ups4_upsert_keep(spark, sf_dir):
-    return mutate.upsert(*_upsert(spark, sf_dir), ["k"], keep_stored=True)
-
-
-@query("SELECT coalesce(i.k, s.k) AS k, CASE WHEN i.k IS NOT NULL THEN i.n ELSE s.n END AS name, coalesce(i.b, s.b) AS balance FROM (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS b FROM supplier) s FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS n, c_acctbal AS b FROM customer WHERE c_custkey < 150) i ON s.k = i.k")
-def ups6_upsert_overwrite(spark, sf_dir):
-    return mutate.upsert(*_upsert(spark, sf_dir), ["k"], keep_stored=False)
-
-
-def _upsert(spark, sf_dir):
-    s = ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    c = ad.table(spark, sf_dir, "customer").where("c_custkey < 150")
-    return s, c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"))
-
-
-# The same over all customers, whose keys are shifted so that some suppliers have none
+# The keys of customers are shifted so that some suppliers have none
 @query("SELECT coalesce(i.k, s.k) AS k, coalesce(i.n, s.n) AS name, coalesce(i.b, s.b) AS balance FROM (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS b FROM supplier) s FULL JOIN (SELECT c_custkey + 5 AS k, CASE WHEN c_acctbal > 0 THEN c_name END AS n, c_acctbal AS b FROM customer) i ON s.k = i.k")
 def ups4_upsert_keep_all(spark, sf_dir):
     return mutate.upsert(*_upsert_all(spark, sf_dir), ["k"], keep_stored=True)
@@ -549,8 +503,9 @@ def ups6_upsert_overwrite_all(spark, sf_dir):
 
 
 def _upsert_all(spark, sf_dir):
+    s = ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     c = ad.table(spark, sf_dir, "customer")
-    return _upsert(spark, sf_dir)[0], c.select((F.col("c_custkey") + 5).alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"))
+    return s, c.select((F.col("c_custkey") + 5).alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"))
 
 
 @query("SELECT user_id, event_type, value FROM events WHERE event_id < 500 UNION ALL SELECT user_id, event_type, value FROM (SELECT * FROM events WHERE event_id >= 500 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1) n WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id < 500 AND o.user_id = n.user_id AND o.event_type = n.event_type)")
