@@ -47,7 +47,7 @@ def test_language(spark, small, odd, none):
     assert len(got) == small.count() and (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
     held = got[got.held_out]
     assert (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
-    out = langid.identify(spark, odd).toPandas()
+    out = langid.identify(spark, clash(odd)).toPandas()
     assert len(out) == odd.count() and set(out[out.doc_id.isin([0, 1, 2, 3, 5])].lang_pred) == {"und"}
     assert langid.identify(spark, none).count() == 0
     kept = langid.keep_identified(spark, clash(small))
@@ -214,7 +214,7 @@ def test_sweeps_over_ranges_are_one_sweep():
 
 
 def test_media(spark, odd, none):
-    got = {r.doc_id: r for r in media.store_and_read(spark, odd).collect()}
+    got = {r.doc_id: r for r in media.store_and_read(spark, clash(odd)).collect()}
     assert media.store_and_read(spark, odd).count() == odd.count() and media.store_and_read(spark, none).count() == 0
     for k, t in enumerate(ODD):
         raw = (t or "").encode()
@@ -244,7 +244,7 @@ def test_licenses(spark, odd, none):
         got[r.doc_id].append((r.license, r.edits))
         assert rows[r.doc_id][1][r.first_char : r.end_char].split()
     assert dict(got) == {0: [("Apache-2.0", 0)], 1: [("GPL-3.0", 0), ("CC-BY-NC-4.0", 0), ("MIT", 0)], 3: [("MIT text", 1)], 6: [("CC-BY-NC-4.0", 0)] * 3}
-    assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
+    assert licenses.scan(clash(odd)).count() == 0 and licenses.scan(none).count() == 0
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
     plain = {(r.doc_id, n) for r in docs.collect() for n, t in licenses.TEMPLATES.items() if t in r.text}
@@ -386,7 +386,7 @@ def test_toxicity(spark, odd, none):
     assert (held[held.toxic == 1].predicted == 1).mean() > 0.8 and (held[held.toxic == 0].predicted == 0).mean() > 0.96
     few = spark.createDataFrame([(5, 1, None), (99, 0, 1), (99, 1, 0), (1234, 1, 1)], "doc_id long, quality int, toxic int")
     for lab in (few, few.limit(0)):
-        out = toxicity.judge(spark, odd, lab)
+        out = toxicity.judge(spark, clash(odd), lab)
         assert out.count() == odd.count() and out.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.judge(spark, none, labels).count() == 0
     kept = toxicity.drop_toxic(spark, clash(docs.limit(50)), labels)
@@ -427,7 +427,7 @@ def test_suffixes(spark, none, words):
     rows = [(k, " ".join(rng.choices("abc", k=rng.randint(0, 60)))) for k in range(40)] + [(100, None), (101, ""), (102, "a " * 500), (103, rng.choice("ab") + " x y z " * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {True: set(), False: set()}
-    for r in suffixes.spans(spark, df, words=words).collect():
+    for r in suffixes.spans(spark, clash(df), words=words).collect():
         got[r.is_copy].update((r.doc_id, q) for q in range(r.first_word, r.end_word))
     assert got == brute_spans(rows, words)
     cut = {r.doc_id: r.text for r in suffixes.cut_copies(spark, df, words=words).collect()}
@@ -504,7 +504,7 @@ def test_set_join(spark, odd, none, words, num):
     want = brute_components(sets, num, 100)
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
     if num == 85:
-        out = setjoin.components(spark, odd)
+        out = setjoin.components(spark, clash(odd))
         assert out.count() == odd.count() and setjoin.components(spark, none).count() == 0
         kept = setjoin.keep_one(spark, clash(odd))
         assert kept.columns == clash(odd).columns and setjoin.keep_one(spark, none).count() == 0
