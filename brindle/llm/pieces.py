@@ -5,8 +5,9 @@ Where no piece of the vocabulary crosses from another character to the whitespac
 characters, and chunks never affect each other. Texts are split into chunks slice by slice and written as
 codes of the slice's distinct chunks. The distinct chunks of all slices are dealt out by hash and make one table, part by part, in which the library segments
 and decodes each chunk once in the whole corpus; the ids go back to the slices that
-asked, in the order of their codes, and each text's ids are put together by position. Chunks and ids travel as sorted, compressed
-lists, one for each slice and part, and a decoded text only where it differs from its chunk. A slice asks for a chunk once however often it
+asked, in the order of their codes, and each text's ids are put together by position; decoded texts are put together from
+the pieces of their ids, or by the library where these are no plain text. Chunks and ids travel as sorted, compressed
+lists, one for each slice and part. A slice asks for a chunk once however often it
 occurs, so a frequent chunk weighs no more than there are slices; memory is that of a slice of SLICE bytes or of its longest text, or of a part of the table.
 
 Nulls and edges: null counts as empty text; an empty text has the begin and end ids alone and
@@ -36,7 +37,8 @@ from brindle.llm.neardup import runs
 from brindle.llm.tables import Scratch
 
 MODEL = "piece_bpe_32k.model"
-SLICE = 1 << 23
+SLICE = 1 << 24
+GATHER = 1 << 19  # chunks whose ids are put together at once
 _CHUNK = re.compile(" +[^ ]*")
 _MARK = "▁"
 
@@ -67,25 +69,40 @@ class Segmenter:
         self.lead = sp.encode("a")
         self.marked = np.array([sp.id_to_piece(i).startswith(_MARK) for i in range(sp.vocab_size())])
         self.space = [sp.piece_to_id(_MARK)]
+        pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
+        self.plain = np.array([not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(sp.vocab_size())])
+        self.text = [p.replace(_MARK, " ").encode() for p in pieces]
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
 
-    def __call__(self, chunks: list[str]) -> Iterator[tuple[str, bytes, str]]:
-        """(chunk, ids as little-endian bytes, decoded text with its first space)."""
+    def __call__(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(chunk, ids as little-endian bytes), many chunks in a call of the library."""
         plain = [c for c in chunks if c and " " not in c]
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
-            ids = self.sp.encode(" ".join(part))
-            raw = np.array(ids, "<u4")
+            raw = np.array(self.sp.encode(" ".join(part)), "<u4")
             edge = np.append(np.flatnonzero(self.marked[raw]), len(raw))
             raw, edge = raw.tobytes(), (4 * edge).tolist()
-            decoded = self.sp.decode(ids).split(" ")
-            if not len(part) == len(decoded) == len(edge) - 1:
+            if len(part) != len(edge) - 1:
                 raise ValueError("chunks and pieces don't agree")
-            yield from zip(part, [raw[a:b] for a, b in zip(edge, edge[1:])], [" " + d for d in decoded])
+            yield from zip(part, [raw[a:b] for a, b in zip(edge, edge[1:])])
         for c in chunks:
             if not c or " " in c:
-                ids = self.sp.encode(c) or self.space
-                yield c, np.array(ids, "<u4").tobytes(), self.sp.decode(self.lead + ids)[1:]
+                yield c, np.array(self.sp.encode(c) or self.space, "<u4").tobytes()
+
+    def decode(self, texts: list[bytes]) -> list[str]:
+        """decode(ids) of each list of ids (little-endian bytes, without begin and end)."""
+        ids = np.frombuffer(b"".join(texts), "<u4")
+        at = np.concatenate(([0], np.cumsum([len(t) // 4 for t in texts], dtype=np.int64)))
+        odd = np.concatenate(([0], np.cumsum(~self.plain[ids], dtype=np.int64)))
+        odd = odd[at[1:]] > odd[at[:-1]]
+        out = []
+        for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            t = b"" if odd[k] else b"".join([self.text[i] for i in ids[a:z].tolist()])
+            if odd[k] or t[:2] == b"  " or t[:1] != b" ":
+                out.append(self.sp.decode(ids[a:z].tolist()))
+            else:
+                out.append(t[1:].decode())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -93,32 +110,33 @@ def segmenter(path: str) -> Segmenter:
     return Segmenter(path)
 
 
-def packed(texts: pa.Array) -> bytes:
-    """A list of texts or bytes as one compressed value."""
-    raw, off = tx.raw_bytes(texts.cast(pa.large_binary()))
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(texts)], np.int64).tobytes() + np.diff(off).astype(np.uint32).tobytes() + raw.tobytes())
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers, byte by byte of all of them, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
-def unpacked(value: bytes) -> pa.LargeBinaryArray:
-    data = zstandard.ZstdDecompressor().decompress(value)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    off = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint32, n, 8), dtype=np.int64)))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off), pa.py_buffer(data[8 + 4 * n :])])
+def expanded(value: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
-def dealt(distinct: list[str], codes: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[bytes]]:
-    """(codes in the order of parts and texts, parts, the chunks of each part in that order)."""
+def dealt(distinct: list[str], codes: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[bytes], list[bytes]]:
+    """(codes in the order of parts and texts, parts, the sizes and the bytes of the chunks of each part in that order).
+
+    Chunks that begin alike are in one part, so that their list compresses well.
+    """
     chunks = pa.array(distinct, pa.large_string())
     raw, off = tx.raw_bytes(chunks.cast(pa.large_binary()))
-    part = (tx.mix(tx.word_hashes(raw, off[:-1], off[1:]) + np.diff(off).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = (tx.mix(tx.word_hashes(raw, off[:-1], np.minimum(off[1:], off[:-1] + 4))) % np.uint64(parts)).astype(np.int64)
     rank = np.empty(len(part), np.int64)
     rank[pc.sort_indices(chunks).to_numpy()] = np.arange(len(part))
     order = np.lexsort((rank, part))
     new = np.empty(len(part), np.int32)
     new[order] = np.arange(len(part))
-    part, chunks = part[order], chunks.take(pa.array(order))
+    part, (raw, off) = part[order], tx.raw_bytes(chunks.cast(pa.large_binary()).take(pa.array(order)))
     cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
-    return new[codes], part[cut[:-1]].tolist(), [packed(chunks.slice(x, z - x)) for x, z in zip(cut, cut[1:])]
+    spans, pack = list(zip(cut, cut[1:])), zstandard.ZstdCompressor(level=6)
+    return new[codes], part[cut[:-1]].tolist(), [squeezed(np.diff(off[x : z + 1]).astype(np.uint32)) for x, z in spans], [pack.compress(raw[off[x] : off[z]].tobytes()) for x, z in spans]
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str, key: str, text: str, schema: str, arrays) -> DataFrame:
@@ -130,57 +148,55 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, key: str, text: str,
 
     def code(batches):
         task, n = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1)
         for b in tx.slices(batches, "t", SLICE):
             distinct, codes, at = split([x or "" for x in b.column("t").to_pylist()])
-            codes, of, chunks = dealt(distinct, codes, parts)
-            lists = [pa.array([b.column("k").to_pylist()], pa.list_(b.schema.field("k").type)), pa.array([of], pa.list_(pa.int32())), pa.array([chunks], pa.list_(pa.binary()))]
-            raw = [pa.array([pack.compress(x.tobytes())], pa.binary()) for x in (codes, at)]
-            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), *raw, *lists], ["slice", "codes", "ends", "keys", "parts", "chunks"])
+            codes, *lists = dealt(distinct, codes, parts)
+            cols = [pa.array([task << 32 | n], pa.int64()), pa.array([squeezed(codes)], pa.binary()), pa.array([squeezed(at)], pa.binary()), pa.array([b.column("k").to_pylist()], pa.list_(b.schema.field("k").type))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.list_(t)) for x, t in zip(lists, (pa.int32(), pa.binary(), pa.binary())))], names)
             n += 1
 
-    fields = [T.StructField("slice", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("chunks", T.ArrayType(T.BinaryType()))]
-    coded = scratch.save(rows.mapInArrow(code, T.StructType(fields)), "coded")
-    asked = coded.select("slice", F.explode(F.arrays_zip("parts", "chunks")).alias("x")).select("slice", F.col("x.parts").alias("part"), F.col("x.chunks").alias("chunks"))
+    names = ["slice", "codes", "ends", "keys", "parts", "sizes", "chunks"]
+    kinds = [T.LongType(), T.BinaryType(), T.BinaryType(), T.ArrayType(kind), T.ArrayType(T.IntegerType()), T.ArrayType(T.BinaryType()), T.ArrayType(T.BinaryType())]
+    coded = scratch.save(rows.mapInArrow(code, T.StructType([T.StructField(c, t) for c, t in zip(names, kinds)])), "coded")
+    asked = coded.select("slice", F.explode(F.arrays_zip("parts", "sizes", "chunks")).alias("x")).select("slice", F.col("x.parts").alias("part"), F.col("x.sizes").alias("sizes"), F.col("x.chunks").alias("chunks"))
 
     def segment(batches):
-        s = segmenter(path)
+        s, unpack = segmenter(path), zstandard.ZstdDecompressor()
+        narrow = np.uint16 if len(s.plain) <= 1 << 16 else np.uint32
         for g in runs(batches, ["part"]):
-            lists = [unpacked(c).cast(pa.large_string()) for c in g.column("chunks").to_pylist()]
+            lists = []
+            for size, raw in zip(g.column("sizes").to_pylist(), g.column("chunks").to_pylist()):
+                off = np.concatenate(([0], np.cumsum(expanded(size, np.uint32), dtype=np.int64)))
+                lists.append(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(unpack.decompress(raw))))
             table = pa.concat_arrays(lists).dictionary_encode()
             chunks = table.dictionary.to_pylist()
-            known = {c: (i, d) for c, i, d in s(chunks)}
-            ids = pa.array([known[c][0] for c in chunks], pa.large_binary())
-            decoded = pa.array([known[c][1] for c in chunks], pa.large_string())
-            odd = np.array([known[c][1] != " " + c for c in chunks], bool)
+            known = dict(s(chunks))
+            ids = pa.array([known[c] for c in chunks], pa.large_binary())
             at = 0
-            for of, asked_ in zip(g.column("slice").to_pylist(), lists):
-                code = table.indices.slice(at, len(asked_)).to_numpy()
-                at += len(asked_)
-                strange = np.flatnonzero(odd[code])
-                cols = [pa.array([of], pa.int64()), g.column("part")[:1].combine_chunks(), pa.array([packed(ids.take(pa.array(code)))], pa.binary()), pa.array([strange.astype(np.int32).tobytes()], pa.binary()), pa.array([packed(decoded.take(pa.array(code[strange])))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["slice", "part", "ids", "odd", "decoded"])
-
-    known = asked.repartition("part").sortWithinPartitions("part").mapInArrow(segment, "slice long, part int, ids binary, odd binary, decoded binary")
-    slices = coded.select("slice", F.lit(-1).alias("part"), "codes", "ends", "keys", "chunks")
+            for of, own in zip(g.column("slice").to_pylist(), lists):
+                raw, off = tx.raw_bytes(ids.take(table.indices.slice(at, len(own))))
+                at += len(own)
+                cols = [squeezed((np.diff(off) // 4).astype(np.uint32)), squeezed(raw.view("<u4").astype(narrow))]
+                yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), g.column("part")[:1].combine_chunks(), *(pa.array([c], pa.binary()) for c in cols)], ["slice", "part", "counts", "ids"])
+
+    known = asked.repartition("part").sortWithinPartitions("part").mapInArrow(segment, "slice long, part int, counts binary, ids binary")
+    slices = coded.select("slice", F.lit(-1).alias("part"), "codes", "ends", "keys")
     both = slices.unionByName(known, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "part")
     struct = T.StructType.fromDDL(schema)
-    names, key_type = [key, *struct.names], to_arrow_type(kind)
+    columns, key_type = [key, *struct.names], to_arrow_type(kind)
 
     def join(batches):
-        s, unpack = segmenter(path), zstandard.ZstdDecompressor()
+        s = segmenter(path)
+        narrow = np.uint16 if len(s.plain) <= 1 << 16 else np.uint32
         for g in runs(batches, ["slice"]):
-            codes, at = (np.frombuffer(unpack.decompress(g.column(c)[0].as_py()), t) for c, t in (("codes", np.int32), ("ends", np.int64)))
-            ids, decoded = [], []
-            for chunks, i, odd, d in zip(g.column("chunks")[0].as_py(), *(g.column(c).to_pylist()[1:] for c in ("ids", "odd", "decoded"))):
-                ids += unpacked(i).to_pylist()
-                own = [" " + c for c in unpacked(chunks).cast(pa.large_string()).to_pylist()]
-                for k, other in zip(np.frombuffer(odd, np.int32).tolist(), unpacked(d).cast(pa.large_string()).to_pylist()):
-                    own[k] = other
-                decoded += own
-            texts = ("".join([decoded[c] for c in codes[a:z].tolist()])[1:] for a, z in zip(at[:-1].tolist(), at[1:].tolist()))
-            made = [(s.begin + i + s.end, d) for i, d in zip(tx.gathered(codes, at, ids), texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(g.column("keys")[0].as_py(), key_type), *arrays(made)], names)
+            codes, at = expanded(g.column("codes")[0].as_py(), np.int32), expanded(g.column("ends")[0].as_py(), np.int64)
+            counts, ids = ([expanded(x, t) for x in g.column(c).to_pylist()[1:]] for c, t in (("counts", np.uint32), ("ids", narrow)))
+            flat, size = np.concatenate([np.zeros(0, narrow), *ids]).astype("<u4"), np.concatenate([np.zeros(0, np.uint32), *counts]).astype(np.int64)
+            keys, cut = g.column("keys")[0].as_py(), np.searchsorted(at, np.arange(0, at[-1], GATHER)) if len(codes) else []
+            edges = sorted({0, len(keys), *(int(c) for c in cut)})
+            for x, z in zip(edges, edges[1:]):  # some texts at a time
+                made = tx.gathered(codes[at[x] : at[z]], at[x : z + 1] - at[x], flat, size)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[x:z], key_type), *arrays([(s.begin + i + s.end, d) for i, d in zip(made, s.decode(made))])], columns)
 
     return both.mapInArrow(join, T.StructType([T.StructField(key, kind), *struct.fields]))
 

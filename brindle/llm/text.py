@@ -155,13 +155,12 @@ class Chunks:
 
         first: False leaves each text's first chunk out.
         """
-        return gathered(self.codes, self.offsets, ids, first)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return gathered(self.codes, self.offsets, np.frombuffer(b"".join(ids), "<u4"), size, first)
 
 
-def gathered(codes: np.ndarray, offsets: np.ndarray, ids: list[bytes], first: bool = True) -> list[bytes]:
-    """The ids (little-endian 32 bits) of each run of codes; first: False leaves the first code of each run out."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+def gathered(codes: np.ndarray, offsets: np.ndarray, flat: np.ndarray, size: np.ndarray, first: bool = True) -> list[bytes]:
+    """The ids (little-endian 32 bits) of each run of codes, out of the ids of all codes and how many each has; first: False leaves the first code of each run out."""
     n, at = size[codes], (np.cumsum(size) - size)[codes]
     if not first and len(n):
         n[offsets[:-1]] = 0
