@@ -37,7 +37,7 @@ from brindle.llm.neardup import runs
 from brindle.llm.tables import Scratch
 
 MODEL = "piece_bpe_32k.model"
-SLICE = 1 << 24
+SLICE = 1 << 25
 GATHER = 1 << 19  # chunks whose ids are put together at once
 _CHUNK = re.compile(" +[^ ]*")
 _MARK = "▁"
