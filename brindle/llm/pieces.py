@@ -120,6 +120,20 @@ def expanded(value: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
+def ranked(codes: np.ndarray) -> bytes:
+    """Codes, written by how frequent they are, which takes fewer bytes, and the codes by frequency."""
+    by = np.argsort(-np.bincount(codes), kind="stable").astype(np.int32) if len(codes) else codes
+    rank = np.empty_like(by)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    first, second = squeezed(by), squeezed(rank[codes])
+    return len(first).to_bytes(8, "little") + first + second
+
+
+def unranked(value: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(value[:8], "little")
+    return expanded(value[8:cut], np.int32)[expanded(value[cut:], np.int32)]
+
+
 def dealt(distinct: list[str], codes: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[bytes], list[bytes]]:
     """(codes in the order of parts and texts, parts, the sizes and the bytes of the chunks of each part in that order).
 
@@ -151,7 +165,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, key: str, text: str,
         for b in tx.slices(batches, "t", SLICE):
             distinct, codes, at = split([x or "" for x in b.column("t").to_pylist()])
             codes, *lists = dealt(distinct, codes, parts)
-            cols = [pa.array([task << 32 | n], pa.int64()), pa.array([squeezed(codes)], pa.binary()), pa.array([squeezed(at)], pa.binary()), pa.array([b.column("k").to_pylist()], pa.list_(b.schema.field("k").type))]
+            cols = [pa.array([task << 32 | n], pa.int64()), pa.array([ranked(codes)], pa.binary()), pa.array([squeezed(at)], pa.binary()), pa.array([b.column("k").to_pylist()], pa.list_(b.schema.field("k").type))]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.list_(t)) for x, t in zip(lists, (pa.int32(), pa.binary(), pa.binary())))], names)
             n += 1
 
@@ -189,7 +203,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, key: str, text: str,
         s = segmenter(path)
         narrow = np.uint16 if len(s.plain) <= 1 << 16 else np.uint32
         for g in runs(batches, ["slice"]):
-            codes, at = expanded(g.column("codes")[0].as_py(), np.int32), expanded(g.column("ends")[0].as_py(), np.int64)
+            codes, at = unranked(g.column("codes")[0].as_py()), expanded(g.column("ends")[0].as_py(), np.int64)
             counts, ids = ([expanded(x, t) for x in g.column(c).to_pylist()[1:]] for c, t in (("counts", np.uint32), ("ids", narrow)))
             flat, size = np.concatenate([np.zeros(0, narrow), *ids]).astype("<u4"), np.concatenate([np.zeros(0, np.uint32), *counts]).astype(np.int64)
             keys, cut = g.column("keys")[0].as_py(), np.searchsorted(at, np.arange(0, at[-1], GATHER)) if len(codes) else []
