@@ -19,10 +19,12 @@ Buckets are gathered as packed arrays (no row per signature) and become groups o
 chunks of BLOCK members; equal groups count once. Of a group each member is first verified against its smallest
 member; after connected components of those links, only pairs of members that are still in
 different components remain. In a group with several components the members outside its largest one meet
-each other and those inside, in pairs of blocks that are rows of their own, and of these pairs only those whose sizes and 512-bit parity sketches
-leave a link possible (each differing bit proves a differing element) are verified. Pairs
+each other and those inside, in pairs of blocks that are rows of their own, and of these pairs only those whose sizes and parity sketches
+leave a link possible (each differing bit proves a differing element) are verified. A sketch has a bit for each element at least, from 2**LEAST
+to 2**WIDEST bits: with fewer bits than elements that may differ it would prove nothing of documents that share a passage. Pairs
 inside a component can't change it and are never made, so n near-copies cost n links and n rows for each signature. Equal sets are
 one class from the start. Verification reads the whole texts again: the text of a document with many partners travels once for BLOCK of them.
+Elsewhere texts don't travel but where a bitmap of ids leaves open whether a row stays.
 
 Words are runs of bytes other than space and \\x09-\\x0D with A-Z lower-cased.
 
@@ -47,7 +49,7 @@ U = np.uint64
 BLOCK = 1024
 FLUSH = 1 << 20
 MOST = 28  # a bitmap of 32 MB
-_SKETCH = [f"s{k}" for k in range(8)]
+LEAST, WIDEST = 9, 15  # sketches of 64 bytes to 4 KB
 
 
 class Schemes:
@@ -71,6 +73,10 @@ class Schemes:
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
+    def possible(self, a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Whether sets of sizes a and b can link that differ in so many elements at least."""
+        return (np.minimum(a, b) * self.den >= np.maximum(a, b) * self.num) & (differ * (self.den + self.num) <= (a + b) * (self.den - self.num))
+
 
 def signatures(h: np.ndarray, scheme: int, m: int) -> np.ndarray:
     """The signatures of a set (its hashes) in a scheme of m segments."""
@@ -94,17 +100,52 @@ def signatures(h: np.ndarray, scheme: int, m: int) -> np.ndarray:
     return out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity bits of a set by the low bits of its hashes: as many as it has elements, rounded up to a power of two."""
+    bits = 1 << min(max((len(h) - 1).bit_length(), LEAST), WIDEST)
+    return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of sets; of two, the wider one is folded to the other's width."""
+
+    def __init__(self, bits: list[bytes]):
+        self.bits, self.words, self.folded = bits, np.array([len(x) // 8 for x in bits], np.int64), {}
+
+    def at(self, words: int) -> np.ndarray:
+        """All sketches of so many words or more, folded to that width; rows of zeros for the others."""
+        if words not in self.folded:
+            out = np.zeros((len(self.bits), words), U)
+            for wide in np.unique(self.words[self.words >= words]).tolist():
+                rows = np.flatnonzero(self.words == wide)
+                m = np.frombuffer(b"".join(self.bits[k] for k in rows.tolist()), U).reshape(len(rows), wide)
+                while m.shape[1] > words:
+                    half = m.shape[1] // 2
+                    m = m[:, :half] ^ m[:, half:]
+                out[rows] = m
+            self.folded[words] = out
+        return self.folded[words]
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many elements the sets x[k] and y[k] differ in at least."""
+        out, width = np.zeros(len(x), np.int64), np.minimum(self.words[x], self.words[y])
+        for words in np.unique(width).tolist():
+            rows, m = np.flatnonzero(width == words), self.at(words)
+            for part in np.array_split(rows, len(rows) * words // FLUSH + 1):  # 8 MB at once
+                out[part] = np.bitwise_count(m[x[part]] ^ m[y[part]]).sum(1)
+        return out
+
+
 def measure(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, print, s0..s7): set size, 128-bit hash of the set, 512 parity bits."""
+    """(doc_id, n, print, sketch): set size, 128-bit hash of the set, parity bits."""
 
     def run(batches):
         for b in tx.slices(batches, "text"):
             sets = tx.shingle_sets(*tx.utf8(b.column("text")), words)
-            bits = np.stack([np.packbits(np.bincount((h >> U(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1) for h in sets]).view(np.int64)
-            cols = [pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, *(pa.array(bits[:, k]) for k in range(8))], ["doc_id", "n", "print", *_SKETCH])
+            cols = [pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets]), pa.array([sketch(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n", "print", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print string, " + ", ".join(f"{s} long" for s in _SKETCH))
+    return docs.mapInArrow(run, "doc_id long, n long, print string, sketch binary")
 
 
 def groups(docs: DataFrame, words: int, schemes: Schemes, parts: int) -> DataFrame:
@@ -167,23 +208,48 @@ def groups(docs: DataFrame, words: int, schemes: Schemes, parts: int) -> DataFra
     return met.groupBy("key", "size", "chunk").agg(F.first("lead").alias("lead"), F.first("members").alias("members"))
 
 
-def among(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (doc_id, distinct), without a shuffle of all texts.
+def _sifted(scratch: Scratch, docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, bitmap): the rows of docs as (row, id, maybe); maybe is false only where the id isn't among ids, of which there are n.
 
-    A bitmap of hashed ids, eight bits or more for each up to 2**MOST bits (2**(MOST - 6) rows), is
-    broadcast first; the few rows that it lets through are joined exactly.
+    A bitmap of hashed ids, eight bits or more for each up to 2**MOST bits (2**(MOST - 6) rows), is broadcast.
     """
-    bits = min(max((8 * ids.count()).bit_length(), 16), MOST)
+    bits = min(max((8 * n).bit_length(), 16), MOST)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     bitmap = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     bitmap = scratch.save(bitmap, "bitmap")
-    near = docs.withColumn("slot", slot("doc_id")).withColumn("word", F.shiftright("slot", 6))
-    near = near.join(F.broadcast(bitmap), "word").where("(bits & shiftleft(1L, cast(slot & 63 as int))) <> 0")
-    out = scratch.save(near.select(*docs.columns).join(ids, "doc_id"), "texts")
+    near = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    near = near.withColumn("slot", slot("id")).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(bitmap), "word", "left")
+    return near.select("row", "id", F.expr("coalesce((bits & shiftleft(1L, cast(slot & 63 as int))) <> 0, false)").alias("maybe")), bitmap
+
+
+def among(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id, distinct), without a shuffle of all texts: only rows that the bitmap lets through are joined."""
+    near, bitmap = _sifted(scratch, docs, ids, ids.count())
+    out = scratch.save(near.where("maybe").join(ids, F.col("id") == ids["doc_id"], "left_semi").select("row.*"), "texts")
     scratch.drop(bitmap)
     return out
 
 
+def without(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (doc_id, distinct), among them those without one.
+
+    Rows that the bitmap rules out stay where they are and only the others are joined. If most rows go, the bitmap
+    is of the ids that stay, so that about half of the texts travel at most.
+    """
+    n, rows = ids.count(), docs.count()
+    if not n:
+        return docs
+    if 2 * n <= rows:
+        near, _ = _sifted(scratch, docs, ids, n)
+        stay = near.where("not maybe").union(near.where("maybe").join(ids, F.col("id") == ids["doc_id"], "left_anti"))
+    else:
+        rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(ids, "doc_id", "left_anti")
+        rest = scratch.save(rest, "rest")
+        near, _ = _sifted(scratch, docs, rest, rest.count())
+        stay = near.where("id is null").union(near.where("id is not null and maybe").join(rest, F.col("id") == rest["doc_id"], "left_semi"))
+    return stay.select("row.*")
+
+
 def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, words: int, schemes: Schemes) -> DataFrame:
     """The pairs (a, b) that link, by their whole texts.
 
@@ -222,14 +288,14 @@ def components(spark: SparkSession, docs: DataFrame, words: int = 5, num: int =
     some = sizes.where("n > 0 and doc_id is not null")
     classes = scratch.save(some.groupBy("print", "n").agg(F.min("doc_id").alias("rep")), "classes")
     copies = scratch.save(some.join(classes, ["print", "n"]).where("doc_id <> rep").select("doc_id").distinct(), "copies")
-    single = docs.join(copies, "doc_id", "left_anti")
+    single = without(scratch, docs, copies)
     parts = 1 << max(10, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     met = scratch.save(groups(single, words, schemes, parts), "groups")
-    about = sizes.where("n > 0").select(F.col("doc_id").alias("member"), "n", *_SKETCH).dropDuplicates(["member"])
+    about = sizes.where("n > 0").select(F.col("doc_id").alias("member"), "n", "sketch").dropDuplicates(["member"])
 
     first = met.select(F.col("lead").alias("a"), F.explode("members").alias("b")).distinct()
     first = scratch.save(_possible(first.join(_as(about, "a"), "a").join(_as(about, "b"), "b"), schemes), "first")
-    links = verify(scratch, single, first, words, schemes)
+    links = verify(scratch, docs, first, words, schemes)  # no id of a pair is one of a copy
     near = connected_components(scratch, links)
 
     listed = F.when(F.col("chunk") == 0, F.concat(F.array("lead"), "members")).otherwise(F.col("members"))
@@ -237,7 +303,7 @@ def components(spark: SparkSession, docs: DataFrame, words: int = 5, num: int =
     member = scratch.save(member.select("key", "size", "member", F.coalesce("component", "member").alias("label")), "members")
     later = scratch.save(_blocks(member, about).mapInArrow(_across(schemes), "a long, b long").distinct(), "later")
     if later.limit(1).count():
-        more = verify(scratch, single, later, words, schemes)
+        more = verify(scratch, docs, later, words, schemes)
         scratch.drop(near)
         near = connected_components(scratch, links.union(more))
         scratch.drop(more)
@@ -249,16 +315,23 @@ def components(spark: SparkSession, docs: DataFrame, words: int = 5, num: int =
 
 
 def _as(about: DataFrame, side: str) -> DataFrame:
-    return about.select(F.col("member").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(s).alias(f"{side}_{s}") for s in _SKETCH))
+    return about.select(F.col("member").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
 
 
 def _possible(pairs: DataFrame, schemes: Schemes) -> DataFrame:
     """The pairs whose sizes and sketches leave a link possible."""
-    total = F.col("a_n") + F.col("b_n")
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
-    most = F.lit(schemes.den - schemes.num) * total
-    fits = (F.least("a_n", "b_n") * schemes.den >= F.greatest("a_n", "b_n") * schemes.num) & (differ * F.lit(schemes.den + schemes.num) <= most)
-    return pairs.where(fits).select("a", "b")
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(s, BLOCK)
+                n, m = (b.column(c).to_numpy() for c in ("a_n", "b_n"))
+                at = np.arange(len(n))
+                differ = Sketches([*b.column("a_sketch").to_pylist(), *b.column("b_sketch").to_pylist()]).differ(at, at + len(n))
+                yield b.select(["a", "b"]).filter(pa.array(schemes.possible(n, m, differ)))
+
+    fits = F.least("a_n", "b_n") * schemes.den >= F.greatest("a_n", "b_n") * schemes.num
+    return pairs.where(fits).mapInArrow(run, "a long, b long")
 
 
 def _blocks(member: DataFrame, about: DataFrame) -> DataFrame:
@@ -281,7 +354,7 @@ def _blocks(member: DataFrame, about: DataFrame) -> DataFrame:
     rest = rest.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
     rest = rest.withColumn("i", F.least("block", "partner")).withColumn("j", F.greatest("block", "partner"))
     of = [*group, "i", "j"]
-    return rest.select(*of, "block", "member", "label", "n", *_SKETCH).repartition(*of).sortWithinPartitions(*of, "member")
+    return rest.select(*of, "block", "member", "label", "n", "sketch").repartition(*of).sortWithinPartitions(*of, "member")
 
 
 def _across(schemes: Schemes):
@@ -290,7 +363,8 @@ def _across(schemes: Schemes):
     def run(batches):
         for g in runs(batches, ["key", "size", "i", "j"]):
             doc, label, n, block = (g.column(c).to_numpy() for c in ("member", "label", "n", "block"))
-            bits = np.stack([g.column(s).to_numpy() for s in _SKETCH], 1).astype(U)
+            sketches = Sketches(g.column("sketch").to_pylist())
+            least = sketches.at((1 << LEAST) // 64)
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             for s in range(0, len(left), 256):
@@ -298,8 +372,9 @@ def _across(schemes: Schemes):
                 fits = (label[rows] != label[right]) & (np.minimum(n[rows], n[right]) * schemes.den >= np.maximum(n[rows], n[right]) * schemes.num)
                 x, y = np.nonzero(fits & (rows < right) if i == j else fits)
                 x, y = left[s + x], right[y]
-                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1)
-                keep = differ * (schemes.den + schemes.num) <= (n[x] + n[y]) * (schemes.den - schemes.num)
+                keep = schemes.possible(n[x], n[y], np.bitwise_count(least[x] ^ least[y]).sum(1))
+                x, y = x[keep], y[keep]
+                keep = schemes.possible(n[x], n[y], sketches.differ(x, y))
                 if keep.any():
                     a, b = doc[x[keep]], doc[y[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -312,5 +387,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80
 
     Rows without an id stay, as do rows that repeat the id of a leading document.
     """
+    scratch = Scratch(spark, "keepone")
     copies = components(spark, docs, words, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return without(scratch, docs, scratch.save(copies, "copies"))

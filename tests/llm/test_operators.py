@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -525,6 +526,67 @@ def test_set_join_of_groups_over_a_block(spark, monkeypatch):
     assert got == brute_components(sets, 45, 100)
 
 
+def test_set_join_sketches(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 40, 700, 3000, 40_000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for d in (0, n // 50, n // 2):
+            for more in (0, n // 4):
+                y = np.unique(np.concatenate([x[d:], rng.integers(0, 2**63, d + more).astype(np.uint64)]))
+                got = setjoin.Sketches([setjoin.sketch(x), setjoin.sketch(y)]).differ(np.array([0, 1]), np.array([1, 0]))
+                assert (got <= len(np.setxor1d(x, y))).all() and got[0] == got[1] and (d + more or not got.any())
+    # large sets that share half of their elements: the sketches alone rule them out, as do those of sets that differ in just over the limit
+    schemes = setjoin.Schemes(80, 100)
+    rows = []
+    for i, share in enumerate((2000, 2000, 3400, 3950)):
+        base = rng.integers(0, 2**63, 4000).astype(np.uint64)
+        y = np.concatenate([base[:share], rng.integers(0, 2**63, 4000 - share).astype(np.uint64)])
+        rows.append((2 * i, 2 * i + 1, 4000, 4000, bytearray(setjoin.sketch(np.unique(base))), bytearray(setjoin.sketch(np.unique(y)))))
+    pairs = spark.createDataFrame(rows, "a long, b long, a_n long, b_n long, a_sketch binary, b_sketch binary")
+    assert [r.a for r in setjoin._possible(pairs, schemes).collect()] == [6]
+
+
+def _shuffled(spark):
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._jvm.scala.Array.emptyDoubleArray(), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_set_join_leaves_texts_where_they_are(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(300))) for k in range(400)] + [(None, "no id"), (None, None), (7000, None)]
+    some = [*rows, *((1000 + k, rows[k][1]) for k in range(20))]
+    most = [*rows[:40], *rows[400:], *((1000 + k, rows[k % 40][1]) for k in range(360))]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, given, ids, limit in (("some", some, {*range(400), None, 7000}, 0.3), ("most", most, {*range(40), None, 7000}, 0.4)):
+            spark.createDataFrame(given, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/{name}")
+            kept = setjoin.keep_one(spark, spark.read.parquet(f"{tmp_path}/{name}"))
+            before = _shuffled(spark)
+            kept.write.parquet(f"{tmp_path}/{name}-kept")
+            assert _shuffled(spark) - before < limit * sum(len(t or "") for _, t in given) / 2  # compressed to about half
+            got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}-kept").collect()]
+            assert sorted(got, key=str) == sorted((r for r in given if r[0] in ids), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_scratch_clears_shuffle_files(spark):
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in _files(spark))
+    before = files()
+    out = tables.Scratch(spark, "clear").save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 7
+
+
+def _files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(k) for k in range(found.size())]
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(3)
     for num in (80, 85):
