@@ -208,7 +208,7 @@ def groups(docs: DataFrame, words: int, schemes: Schemes, parts: int) -> DataFra
     return met.groupBy("key", "size", "chunk").agg(F.first("lead").alias("lead"), F.first("members").alias("members"))
 
 
-def _sifted(scratch: Scratch, docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def sifted(scratch: Scratch, docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(rows, bitmap): the rows of docs as (row, id, maybe); maybe is false only where the id isn't among ids, of which there are n.
 
     A bitmap of hashed ids, eight bits or more for each up to 2**MOST bits (2**(MOST - 6) rows), is broadcast.
@@ -224,7 +224,7 @@ def _sifted(scratch: Scratch, docs: DataFrame, ids: DataFrame, n: int) -> tuple[
 
 def among(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids (doc_id, distinct), without a shuffle of all texts: only rows that the bitmap lets through are joined."""
-    near, bitmap = _sifted(scratch, docs, ids, ids.count())
+    near, bitmap = sifted(scratch, docs, ids, ids.count())
     out = scratch.save(near.where("maybe").join(ids, F.col("id") == ids["doc_id"], "left_semi").select("row.*"), "texts")
     scratch.drop(bitmap)
     return out
@@ -240,12 +240,12 @@ def without(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
     if not n:
         return docs
     if 2 * n <= rows:
-        near, _ = _sifted(scratch, docs, ids, n)
+        near, _ = sifted(scratch, docs, ids, n)
         stay = near.where("not maybe").union(near.where("maybe").join(ids, F.col("id") == ids["doc_id"], "left_anti"))
     else:
         rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(ids, "doc_id", "left_anti")
         rest = scratch.save(rest, "rest")
-        near, _ = _sifted(scratch, docs, rest, rest.count())
+        near, _ = sifted(scratch, docs, rest, rest.count())
         stay = near.where("id is null").union(near.where("id is not null and maybe").join(rest, F.col("id") == rest["doc_id"], "left_semi"))
     return stay.select("row.*")
 

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import text as tx
 from brindle.llm.neardup import runs
+from brindle.llm.setjoin import sifted
 from brindle.llm.tables import Scratch
 
 WORDS = 50
@@ -385,7 +386,13 @@ def cut_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> Data
     nth = F.col("row") if repeat else F.lit(0).cast("long")
     found = found.select(F.col("doc_id").alias("id"), nth.alias("id_nth"), F.struct("first_word", "end_word").alias("span"))
     found = found.groupBy("id", "id_nth").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # of one row, as long as its text at most
-    rows = rows.join(found, (F.col("key") == F.col("id")) & (F.col("nth") == F.col("id_nth")), "left")
+    scratch = Scratch(spark, "cut")
+    found = scratch.save(found, "spans")
+    near, _ = sifted(scratch, rows.withColumnRenamed("key", "doc_id"), found.select(F.col("id").alias("doc_id")), found.count())
+    near = near.select("maybe", "row.row", F.col("row.doc_id").alias("key"), "row.t", "row.nth")
+    whole = near.where("not maybe").drop("maybe").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))  # these texts don't travel
+    met = near.where("maybe").drop("maybe").join(found, (F.col("key") == F.col("id")) & (F.col("nth") == F.col("id_nth")), "left")
+    rows = whole.unionByName(met.drop("id", "id_nth"))
 
     def cut(batches):
         for b in tx.slices(batches, "t"):

@@ -571,6 +571,23 @@ def test_set_join_leaves_texts_where_they_are(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_cut_copies_leaves_texts_where_they_are(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(300))) for k in range(400)]
+    given = [*rows, *((1000 + k, f"own {rows[k][1]}") for k in range(10)), (None, rows[0][1]), (7000, None)]
+    want = [*rows, *((1000 + k, "own ") for k in range(10)), *given[-2:]]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.createDataFrame(given, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/given")
+        before = _shuffled(spark)
+        suffixes.cut_copies(spark, spark.read.parquet(f"{tmp_path}/given")).write.parquet(f"{tmp_path}/cut")
+        assert _shuffled(spark) - before < 0.5 * sum(len(t or "") for _, t in given)  # before: 1.5 times
+        assert sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/cut").collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_scratch_clears_shuffle_files(spark):
     files = lambda: sum(f.getName().startswith("shuffle_") for f in _files(spark))
     before = files()
